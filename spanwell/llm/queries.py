@@ -5,8 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, sharding, topk
+from . import chat, mixing, neardup, sharding, substrings, topk
 from .common import table
+from .oracles import ORACLE_SQL  # noqa: F401
+
+
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.SubstringDedup(table(spark, sf_dir, "documents"), 50).result()
+
+
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.NearDuplicates(table(spark, sf_dir, "documents"), percent=85).result()
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,10 +48,10 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op2_minhash_dedup": op2_minhash_dedup,
     "op3_chat_formatting": op3_chat_formatting,
     "op4_mixing": op4_mixing,
     "op8_sharding": op8_sharding,
     "op10_topk": op10_topk,
 }
-
-ORACLE_SQL: dict[str, str] = {}
