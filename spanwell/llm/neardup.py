@@ -10,9 +10,10 @@ a chance of 5e-8, one of 0.85 with 6e-11.
 Texts with the same words are one node, so copies cost nothing further.  Within
 a bucket, nodes are first compared with one leader each, then with the leader of
 every bucket they share; only nodes of a bucket that are still in different
-components are compared with one another.  So no pair of nodes that share a
-bucket is ever left open, and a large group of near copies is a star of links,
-not a square of pairs.  Every link is confirmed on the full sets.
+components are compared with one another, without those whose count of shingles
+that nobody shares rules every link out.  So no pair of nodes that share a
+bucket is left open, and a large group of near copies is a star of links, not a
+square of pairs.  Every link is confirmed on the full sets.
 
 Defined results: null or empty texts and texts without words have an empty set
 and are linked with nothing; fewer words than a shingle are one shingle of all;
@@ -38,9 +39,6 @@ PERMUTATIONS = 64
 BANDS = 32
 ROWS = 2 * PERMUTATIONS // BANDS
 
-#: Signature values (of 128) that two sets must share to be compared member by member.  A pair of similarity 0.8 shares fewer with a chance below 1e-11.
-LEAST_SHARED = 68
-
 _rng = np.random.default_rng(8254729)
 _MULTIPLIERS = _rng.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MASKS = _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
@@ -67,6 +65,14 @@ def _sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     return out
 
 
+def _once(part: pa.RecordBatch, side: str, size: int) -> list[np.ndarray]:
+    """Sets of the texts of one side of a batch of pairs, made once for each node."""
+    ids = part.column(side).to_pylist()
+    first = {x: i for i, x in reversed(list(enumerate(ids)))}
+    made = dict(zip(first, _sets(part.column("text_" + side).take(pa.array(list(first.values()), pa.int64())), size), strict=True))
+    return [made[x] for x in ids]
+
+
 def signatures(h: np.ndarray, so: np.ndarray) -> np.ndarray:
     """(rows, 128) smallest and largest hash of each permutation; rows must not be empty."""
     sig = np.empty((len(so) - 1, 2 * PERMUTATIONS), np.uint64)
@@ -123,7 +129,7 @@ def _confirm(size: int, percent: int):
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                left, right = _sets(part.column("text_a"), size), _sets(part.column("text_b"), size)
+                left, right = _once(part, "a", size), _once(part, "b", size)
                 common = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right, strict=True)], np.int64)
                 union = np.array([len(x) + len(y) for x, y in zip(left, right, strict=True)], np.int64) - common
                 keep = pa.array((100 * common >= percent * union) & (union > 0))
@@ -132,13 +138,35 @@ def _confirm(size: int, percent: int):
     return run
 
 
-def _similar_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if not b.num_rows:
-            continue
-        x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("sig_a", "sig_b"))
-        keep = pa.array((x == y).sum(1) >= LEAST_SHARED)
-        yield pa.RecordBatch.from_pydict({"a": b.column("a").filter(keep), "b": b.column("b").filter(keep)})
+def least_shared(percent: int) -> int:
+    """Signature values that two sets must share to be confirmed in round 3: six deviations below what is expected."""
+    t, n = percent / 100, 2 * PERMUTATIONS
+    return max(0, int(n * t - 6 * (n * t * (1 - t)) ** 0.5))
+
+
+def _similar_signatures(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("sig_a", "sig_b"))
+            keep = pa.array((x == y).sum(1) >= least_shared(percent))
+            yield pa.RecordBatch.from_pydict({"a": b.column("a").filter(keep), "b": b.column("b").filter(keep)})
+
+    return run
+
+
+def _shingles(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                sets = _sets(part.column("text"), size)
+                offs = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+                flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+                yield pa.RecordBatch.from_pydict({"node": part.column("node"), "s": W.list_array(W.long_bytes(flat), offs)})
+
+    return run
 
 
 class NearDuplicates:
@@ -161,10 +189,6 @@ class NearDuplicates:
         joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         return joined.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(self.shingle, self.percent), "u binary, v binary")
 
-    def _sized(self, a: Column, b: Column) -> Column:
-        """Whether two sets of these sizes can be similar enough."""
-        return (100 * F.least(a, b)) >= (self.percent * F.greatest(a, b))
-
     def links(self) -> DataFrame:
         """(node, component) of nodes with a link to another text."""
         nodes = self.profile.where(F.col("node").isNotNull()).dropDuplicates(["node"]).select("node", "n_shingles", "bands", "sig")
@@ -185,18 +209,42 @@ class NearDuplicates:
         label = Stored(components(label.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(second)), "near-components").df
         # round 3: nodes of one bucket that are still apart, with one another
         member = named(buckets, "node", "c")
-        apart = member.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("h")
-        member = member.join(apart, "h", "left_semi").where("node != lead").join(sizes, "node").select("h", "node", "c", "n_shingles")
-        x = member.select("h", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("n_shingles").alias("na"))
-        y = member.select("h", F.col("node").alias("b"), F.col("c").alias("cb"), F.col("n_shingles").alias("nb"))
-        cross = x.join(y, "h").where((F.col("ca") < F.col("cb")) & self._sized(F.col("na"), F.col("nb"))).select("a", "b").distinct()
-        sigs = nodes.select("node", "sig")
-        cross = cross.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
-        cross = Stored(cross.mapInArrow(_similar_signatures, "a binary, b binary"), "near-cross").df
+        member = self._apart(member).where("node != lead").join(sizes, "node").select("h", "node", "c", "n_shingles")
+        member = Stored(self._apart(self._possible(member, texts)), "near-apart").df
+        near = nodes.join(member.select("node").distinct(), "node", "left_semi").select("node", "bands", "sig")
+        member = Stored(member.join(near, "node"), "near-members").df
+        x = member.select("h", *[F.col(c).alias(c + "_a") for c in ("node", "c", "n_shingles", "most", "bands", "sig")])
+        y = member.select("h", *[F.col(c).alias(c + "_b") for c in ("node", "c", "n_shingles", "most", "bands", "sig")])
+        first_shared = F.array_compact(F.zip_with("bands_a", "bands_b", lambda i, j: F.when(i == j, i)))[0]
+        able = (F.col("c_a") < F.col("c_b")) & (F.col("n_shingles_b") <= F.col("most_a")) & (F.col("n_shingles_a") <= F.col("most_b"))
+        cross = x.join(y, (x["h"] == y["h"]) & able & (first_shared == x["h"]))
+        cross = cross.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "sig_a", "sig_b")
+        cross = Stored(cross.mapInArrow(_similar_signatures(self.percent), "a binary, b binary"), "near-cross").df
         third = self._verify(cross, texts)
         self.rounds = (star, open_, cross)
         return Stored(components(label.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(third)), "near-components").df
 
+    @staticmethod
+    def _apart(member: DataFrame) -> DataFrame:
+        """Rows of buckets (h) whose nodes lie in more than one component (c)."""
+        open_ = member.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("h")
+        return member.join(open_, "h", "left_semi")
+
+    def _possible(self, member: DataFrame, texts: DataFrame) -> DataFrame:
+        """``member`` without nodes that cannot be similar enough to any other node of their bucket.
+
+        Shingles that no other member holds are never shared, so a node of n
+        shingles shares at most e, and only with nodes of at most
+        e * (100 + percent) / percent - n shingles (column ``most``).  That is exact.
+        """
+        held = texts.join(member.select("node").distinct(), "node", "left_semi").mapInArrow(_shingles(self.shingle), "node binary, s array<long>")
+        alone = held.select("node", F.explode("s").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("node")).where("k = 1")
+        alone = alone.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+        most = F.floor((F.col("n_shingles") - F.coalesce("own", F.lit(0))) * (100 + self.percent) / self.percent + 1e-9) - F.col("n_shingles")
+        member = member.join(alone, "node", "left").withColumn("most", most).drop("own")
+        least = member.groupBy("h").agg(F.min("n_shingles").alias("least"))
+        return member.join(least, "h").where("most >= least").drop("least")
+
     def result(self) -> DataFrame:
         """(doc_id, th, n_shingles, component_id, kept) for every row."""
         label = self.links()
