@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, neardup, sharding, substrings, topk, toxicity
+from . import chat, decontam, mixing, neardup, sharding, substrings, topk, toxicity
 from .common import table
 from .oracles import ORACLE_SQL  # noqa: F401
 
@@ -32,6 +32,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit(""))
@@ -59,6 +63,7 @@ QUERIES = {
     "op2_minhash_dedup": op2_minhash_dedup,
     "op3_chat_formatting": op3_chat_formatting,
     "op4_mixing": op4_mixing,
+    "op7_decontamination": op7_decontamination,
     "op8_sharding": op8_sharding,
     "op9_toxicity": op9_toxicity,
     "op10_topk": op10_topk,
