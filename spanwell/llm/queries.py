@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, mixing, neardup, sharding, substrings, topk, toxicity
+from . import chat, decontam, mixing, neardup, secrets, sharding, substrings, surrogates, topk, toxicity
 from .common import table
 from .oracles import ORACLE_SQL  # noqa: F401
 
@@ -32,6 +32,18 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+#: Key of the registered query; a deployment passes its own.
+PII_KEY = "spanwell-demo-key"
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY)
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -63,6 +75,8 @@ QUERIES = {
     "op2_minhash_dedup": op2_minhash_dedup,
     "op3_chat_formatting": op3_chat_formatting,
     "op4_mixing": op4_mixing,
+    "op5_secrets": op5_secrets,
+    "op6_pii": op6_pii,
     "op7_decontamination": op7_decontamination,
     "op8_sharding": op8_sharding,
     "op9_toxicity": op9_toxicity,
