@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from ..operators import evaluation, selection
+from .dialect import oracle, query
+
+_PLANS = {**selection.PLANS, **evaluation.PLANS}
+
+QUERIES = {name: query(plan) for name, plan in _PLANS.items()}
+ORACLE_SQL = {name: oracle(plan) for name, plan in _PLANS.items()}
