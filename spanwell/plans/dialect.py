@@ -42,6 +42,10 @@ class _Dialect:
 
 
 class SparkDialect(_Dialect):
+    all_flag = ""
+    #: A closing brace, as Spark's parameterised text takes it.
+    brace = "}}"
+
     def table(self, name):
         return "{" + name + "}"
 
@@ -95,6 +99,9 @@ class SparkDialect(_Dialect):
 
 
 class DuckDialect(_Dialect):
+    all_flag = ", 'g'"
+    brace = "}"
+
     def table(self, name):
         return name
 
@@ -132,7 +139,7 @@ class DuckDialect(_Dialect):
         return f"CAST(json_extract({x}, '$.{key}') AS BIGINT)"
 
     def json_ok(self, x):
-        return f"json_valid({x})"
+        return f"(json_valid({x}) AND NOT regexp_matches({x}, ',\\s*[}}\\]]'))"
 
     def concat_sorted(self, x):
         return f"array_to_string(list_sort(list(DISTINCT {x})), ',')"
