@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 class Ewma:
@@ -323,27 +324,26 @@ def temporal_nms(candidates: DataFrame, threshold: float = 0.3, most: int = 5) -
     """TOP-20, TOP-21: greedy suppression in (score, start, id) order, with the suppressor of each candidate.
 
     (query_id, candidate, pred_start, pred_end, score) to (query_id, place, candidate, kept, suppressor).
+    A fold over the sorted pool of a query, in the JVM; pools are a handful of candidates.
     """
-
-    def apply(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["score", "candidate", "pred_start", "pred_end"], ascending=[False, True, True, True], kind="stable")
-        kept: list[tuple] = []
-        out = []
-        for place, (q, c, a, b) in enumerate(zip(g["query_id"], g["candidate"], g["pred_start"], g["pred_end"], strict=True), 1):
-            by = 0
-            for k, x, y in kept:
-                inter = max(0.0, min(b, y) - max(a, x))
-                union = (b - a) + (y - x) - inter
-                if inter > 0 and union > 0 and inter / union >= threshold:
-                    by = k
-                    break
-            ok = by == 0 and len(kept) < most
-            if ok:
-                kept.append((place, a, b))
-            out.append({"query_id": q, "place": place, "candidate": c, "kept": ok, "suppressor": by})
-        return frame_of(out, "query_id long, place long, candidate long, kept boolean, suppressor long")
-
-    return candidates.groupBy("query_id").applyInPandas(apply, "query_id long, place long, candidate long, kept boolean, suppressor long")
+    entry = "struct<k:bigint,a:double,b:double>"
+    row = "struct<place:bigint,candidate:bigint,kept:boolean,suppressor:bigint>"
+    pool = candidates.groupBy("query_id").agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("candidate").alias("c"), F.col("pred_start").alias("a"), F.col("pred_end").alias("b")))).alias("cs")
+    )
+
+    def step(s, x):
+        place = (F.size(s["out"]) + 1).cast("long")
+        common = lambda k: F.least(x["b"], k["b"]) - F.greatest(x["a"], k["a"])
+        union = lambda k: (x["b"] - x["a"]) + (k["b"] - k["a"]) - common(k)
+        near = F.filter(s["held"], lambda k: (common(k) > 0) & (union(k) > 0) & (common(k) / union(k) >= threshold))
+        by = F.when(F.size(near) > 0, F.element_at(near, F.when(F.size(near) > 0, 1).otherwise(-1))["k"]).otherwise(F.lit(0).cast("long"))
+        ok = (F.size(near) == 0) & (F.size(s["held"]) < most)
+        grown = F.concat(s["held"], F.array(F.struct(place.alias("k"), x["a"].alias("a"), x["b"].alias("b"))))
+        return F.struct(F.when(ok, grown).otherwise(s["held"]).alias("held"), F.concat(s["out"], F.array(F.struct(place.alias("place"), x["c"].alias("candidate"), ok.alias("kept"), by.alias("suppressor")))).alias("out"))
+
+    start = F.struct(F.expr(f"cast(array() as array<{entry}>)").alias("held"), F.expr(f"cast(array() as array<{row}>)").alias("out"))
+    return pool.select("query_id", F.explode(F.aggregate("cs", start, step, lambda s: s["out"])).alias("r")).select("query_id", "r.*")
 
 
 def mmr_select(frames: DataFrame, k: int = 5, like: float = 0.5, near: float = 0.2) -> DataFrame:
