@@ -56,3 +56,30 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 ORACLE_SQL["op10_topk"] = OP10
+
+_U = "((('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || (k + 1)), 1, 8))::BIGINT + 1) / 4294967296e0)"
+
+
+def _jumps(shards: int) -> str:
+    """Chains of jumps of every key until they leave the shards; the last place below is the shard."""
+    return f"""jump{shards} AS (
+  SELECT doc_id, -1::BIGINT AS b, 0::BIGINT AS j, 0::BIGINT AS k FROM (SELECT DISTINCT doc_id FROM documents)
+  UNION ALL
+  SELECT doc_id, j, floor((j + 1) / {_U})::BIGINT, k + 1 FROM jump{shards} WHERE j < {shards}), at{shards} AS (SELECT doc_id, b::INTEGER AS shard FROM jump{shards} WHERE j >= {shards})"""
+
+
+OP8 = f"""
+WITH RECURSIVE bits AS (
+  SELECT i AS v, i, 0 AS n FROM (SELECT unnest(range(256))::BIGINT AS i)
+  UNION ALL SELECT CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, i, n + 1 FROM bits WHERE n < 8),
+crc AS (SELECT list(v ORDER BY i) AS t FROM bits WHERE n = 8),
+{_jumps(16)}, {_jumps(17)},
+sized AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS size,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)::BIGINT AS text_crc32
+  FROM documents, crc),
+dealt AS (SELECT s.*, a.shard, g.shard AS grown_shard FROM sized s JOIN at16 a ON a.doc_id IS NOT DISTINCT FROM s.doc_id JOIN at17 g ON g.doc_id IS NOT DISTINCT FROM s.doc_id),
+grouped AS (SELECT *, ('0x' || substr(md5(concat_ws('|', doc_id, size, text_crc32, shard, grown_shard)), 1, 15))::BIGINT % greatest(1, ((SELECT count(*) FROM documents) + 8191) // 8192) AS g FROM dealt)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY g, doc_id NULLS FIRST, size, text_crc32, grown_shard) - 1 AS slot, grown_shard FROM grouped
+"""
+ORACLE_SQL["op8_sharding"] = OP8

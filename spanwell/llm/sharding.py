@@ -61,7 +61,7 @@ def number_slots(df: DataFrame, shard: str, rows: int, name: str = "slot") -> Da
     cols = df.columns
     groups = max(1, -(-rows // GROUP_ROWS))
     cells = df.groupBy(*[F.col(f"`{c}`") for c in cols]).agg(F.count(F.lit(1)).alias("_n"))
-    cells = cells.withColumn("_g", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in cols]), F.lit(groups)))
+    cells = cells.withColumn("_g", F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(f"`{c}`").cast("string") for c in cols])), 1, 15), 16, 10).cast("long"), F.lit(groups)))
     sizes = cells.groupBy(shard, "_g").agg(F.sum("_n").alias("_size"))
     order = Window.partitionBy(shard).orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
     first = sizes.select(F.col(shard).alias("_s"), F.col("_g").alias("_h"), F.coalesce(F.sum("_size").over(order), F.lit(0)).alias("_first"))
