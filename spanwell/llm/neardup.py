@@ -10,8 +10,8 @@ a chance of 5e-8, one of 0.85 with 6e-11.
 Texts with the same words are one node, so copies cost nothing further.  Within
 a bucket, nodes are first compared with one leader each, then with the leader of
 every bucket they share; only nodes of a bucket that are still in different
-components are compared with one another, without those whose count of shingles
-that nobody shares rules every link out.  So no pair of nodes that share a
+components are compared with one another, but for those whose count of shingles
+that nobody shares, or whose bit maps, rule a link out for certain.  So no pair of nodes that share a
 bucket is left open, and a large group of near copies is a star of links, not a
 square of pairs.  Every link is confirmed on the full sets.
 
@@ -38,6 +38,7 @@ from .components import components
 PERMUTATIONS = 64
 BANDS = 32
 ROWS = 2 * PERMUTATIONS // BANDS
+MAP_BITS = 4096
 
 _rng = np.random.default_rng(8254729)
 _MULTIPLIERS = _rng.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -96,14 +97,12 @@ def _profile(size: int):
                 some = np.flatnonzero(np.diff(so) > 0)
                 node = np.stack([W.range_hashes(w, wo[:-1], wo[1:]), W.range_hashes(W.mix64(w + np.uint64(1)), wo[:-1], wo[1:])], 1)
                 bands = np.zeros((hi - lo, BANDS), np.uint64)
-                bytes_ = np.zeros((hi - lo, 2 * PERMUTATIONS), np.uint8)
                 if len(some):
                     sig = signatures(h, np.append(so[:-1][some], so[-1]))
                     key = np.zeros((len(some), BANDS), np.uint64) + W.mix64(np.arange(1, BANDS + 1, dtype=np.uint64))
                     for r in range(ROWS):
                         key = W.mix64(key ^ sig[:, r::ROWS]) + np.uint64(r)
                     bands[some] = key
-                    bytes_[some] = (W.mix64(sig) & np.uint64(255)).astype(np.uint8)
                 empty = n == 0
                 yield pa.RecordBatch.from_pydict(
                     {
@@ -112,14 +111,13 @@ def _profile(size: int):
                         "n_shingles": pa.array(n),
                         "node": pa.array([None if z else x.tobytes() for z, x in zip(empty, node, strict=True)], pa.binary()),
                         "bands": W.list_array(W.long_bytes(bands.reshape(-1)), np.arange(hi - lo + 1) * BANDS),
-                        "sig": pa.array([x.tobytes() for x in bytes_], pa.binary()),
                     }
                 )
 
     return run
 
 
-PROFILE = "doc_id long, th long, n_shingles long, node binary, bands array<long>, sig binary"
+PROFILE = "doc_id long, th long, n_shingles long, node binary, bands array<long>"
 
 
 def _confirm(size: int, percent: int):
@@ -138,25 +136,9 @@ def _confirm(size: int, percent: int):
     return run
 
 
-def least_shared(percent: int) -> int:
-    """Signature values that two sets must share to be confirmed in round 3: six deviations below what is expected."""
-    t, n = percent / 100, 2 * PERMUTATIONS
-    return max(0, int(n * t - 6 * (n * t * (1 - t)) ** 0.5))
-
-
-def _similar_signatures(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("sig_a", "sig_b"))
-            keep = pa.array((x == y).sum(1) >= least_shared(percent))
-            yield pa.RecordBatch.from_pydict({"a": b.column("a").filter(keep), "b": b.column("b").filter(keep)})
-
-    return run
-
-
 def _shingles(size: int):
+    """(node, s, bits): the set of each text, and a map of ``MAP_BITS`` bits with one set for each shingle."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 256):
@@ -164,7 +146,10 @@ def _shingles(size: int):
                 sets = _sets(part.column("text"), size)
                 offs = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
                 flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_pydict({"node": part.column("node"), "s": W.list_array(W.long_bytes(flat), offs)})
+                bits = np.zeros((len(sets), MAP_BITS // 64), np.uint64)
+                at = (flat >> np.uint64(17)) % np.uint64(MAP_BITS)
+                np.bitwise_or.at(bits, (np.repeat(np.arange(len(sets)), np.diff(offs)), (at >> np.uint64(6)).astype(int)), np.uint64(1) << (at & np.uint64(63)))
+                yield pa.RecordBatch.from_pydict({"node": part.column("node"), "s": W.list_array(W.long_bytes(flat), offs), "bits": W.list_array(W.long_bytes(bits.reshape(-1)), np.arange(len(sets) + 1) * (MAP_BITS // 64))})
 
     return run
 
@@ -191,7 +176,7 @@ class NearDuplicates:
 
     def links(self) -> DataFrame:
         """(node, component) of nodes with a link to another text."""
-        nodes = self.profile.where(F.col("node").isNotNull()).dropDuplicates(["node"]).select("node", "n_shingles", "bands", "sig")
+        nodes = self.profile.where(F.col("node").isNotNull()).dropDuplicates(["node"]).select("node", "n_shingles", "bands")
         keyed = Stored(nodes.select("node", F.explode("bands").alias("h")), "near-bands").df
         shared = keyed.groupBy("h").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead != last").select("h", "lead")
         buckets = Stored(keyed.join(shared, "h"), "near-buckets").df
@@ -211,15 +196,18 @@ class NearDuplicates:
         member = named(buckets, "node", "c")
         member = self._apart(member).where("node != lead").join(sizes, "node").select("h", "node", "c", "n_shingles")
         member = Stored(self._apart(self._possible(member, texts)), "near-apart").df
-        near = nodes.join(member.select("node").distinct(), "node", "left_semi").select("node", "bands", "sig")
+        near = nodes.select("node", "bands").join(member.select("node").distinct(), "node", "left_semi").join(self.held.select("node", "bits"), "node")
         member = Stored(member.join(near, "node"), "near-members").df
-        x = member.select("h", *[F.col(c).alias(c + "_a") for c in ("node", "c", "n_shingles", "most", "bands", "sig")])
-        y = member.select("h", *[F.col(c).alias(c + "_b") for c in ("node", "c", "n_shingles", "most", "bands", "sig")])
+        side = lambda x: member.select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "c", "n_shingles", "most", "bands", "bits")])
+        x, y = side("a"), side("b")
         first_shared = F.array_compact(F.zip_with("bands_a", "bands_b", lambda i, j: F.when(i == j, i)))[0]
         able = (F.col("c_a") < F.col("c_b")) & (F.col("n_shingles_b") <= F.col("most_a")) & (F.col("n_shingles_a") <= F.col("most_b"))
-        cross = x.join(y, (x["h"] == y["h"]) & able & (first_shared == x["h"]))
-        cross = cross.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "sig_a", "sig_b")
-        cross = Stored(cross.mapInArrow(_similar_signatures(self.percent), "a binary, b binary"), "near-cross").df
+        # sets share no more shingles than bits, and those that share a bit within one of them
+        ones = lambda v: F.aggregate(v, F.lit(0), lambda n, w: n + F.bit_count(w))
+        alike = ones(F.zip_with("bits_a", "bits_b", lambda i, j: i.bitwiseAND(j))) + F.least(F.col("n_shingles_a") - ones("bits_a"), F.col("n_shingles_b") - ones("bits_b"))
+        enough = alike * (100 + self.percent) >= self.percent * (F.col("n_shingles_a") + F.col("n_shingles_b"))
+        cross = x.join(y, (x["h"] == y["h"]) & able & (first_shared == x["h"]) & enough)
+        cross = Stored(cross.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "near-cross").df
         third = self._verify(cross, texts)
         self.rounds = (star, open_, cross)
         return Stored(components(label.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(third)), "near-components").df
@@ -237,8 +225,9 @@ class NearDuplicates:
         shingles shares at most e, and only with nodes of at most
         e * (100 + percent) / percent - n shingles (column ``most``).  That is exact.
         """
-        held = texts.join(member.select("node").distinct(), "node", "left_semi").mapInArrow(_shingles(self.shingle), "node binary, s array<long>")
-        alone = held.select("node", F.explode("s").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("node")).where("k = 1")
+        held = texts.join(member.select("node").distinct(), "node", "left_semi").mapInArrow(_shingles(self.shingle), "node binary, s array<long>, bits array<long>")
+        self.held = Stored(held, "near-sets").df
+        alone = self.held.select("node", F.explode("s").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("node")).where("k = 1")
         alone = alone.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
         most = F.floor((F.col("n_shingles") - F.coalesce("own", F.lit(0))) * (100 + self.percent) / self.percent + 1e-9) - F.col("n_shingles")
         member = member.join(alone, "node", "left").withColumn("most", most).drop("own")
