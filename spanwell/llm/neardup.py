@@ -242,3 +242,20 @@ class NearDuplicates:
         first = rows.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("doc_id").alias("component_id"))
         out = rows.where(F.col("component").isNotNull()).join(first, "component").unionByName(rows.where(F.col("component").isNull()).withColumn("component_id", F.col("doc_id")))
         return out.select("doc_id", "th", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), "node")
+
+
+def one_of_each(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
+    """The rows of ``docs``, all columns, without near duplicates: one row of each component stays.
+
+    It is the row with the smallest doc_id (null last, then by content); rows
+    without words have no duplicates and all stay.
+    """
+    found = NearDuplicates(docs, percent, shingle)
+    label = found.links()
+    rows = found.profile.where(F.col("node").isNotNull()).select("doc_id", "th", "node").join(label, "node", "left")
+    first = rows.groupBy(F.coalesce("component", "node").alias("c")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("p"))
+    first = first.select(F.col("p.doc_id").alias("_d"), F.col("p.th").alias("_h"))
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    keyed = docs.where(worded).withColumn("_t", F.xxhash64("text"))
+    kept = keyed.join(first, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_h"))).dropDuplicates(["_d", "_h"])
+    return kept.select(*docs.columns).unionByName(docs.where(~worded))
