@@ -91,6 +91,15 @@ class SparkDialect(_Dialect):
     def size(self, x):
         return f"CAST(size({x}) AS BIGINT)"
 
+    def pattern(self, p):
+        return "'" + p + "'"
+
+    def matches(self, x, p):
+        return f"({x} RLIKE {p})"
+
+    def join_ordered(self, key, x):
+        return f"array_join(transform(array_sort(collect_list(struct({key} AS k, {x} AS x))), s -> s.x), '|')"
+
     def distinct_list(self, x):
         return f"array_distinct({x})"
 
@@ -147,6 +156,15 @@ class DuckDialect(_Dialect):
     def size(self, x):
         return f"len({x})"
 
+    def pattern(self, p):
+        return "'" + p.replace("\\\\", "\\") + "'"
+
+    def matches(self, x, p):
+        return f"regexp_matches({x}, {p})"
+
+    def join_ordered(self, key, x):
+        return f"string_agg({x}, '|' ORDER BY {key}, {x})"
+
     def distinct_list(self, x):
         return f"list_distinct({x})"
 
