@@ -6,6 +6,7 @@ import json
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def canonical(value: object) -> str:
@@ -73,11 +74,11 @@ def sized(document: dict) -> dict:
         size = now
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def extract_object(text: pd.Series) -> pd.Series:
     return text.map(first_object)
 
 
-@F.pandas_udf("struct<status:string,document:string>")
+@F.pandas_udf(StructType([StructField("status", StringType()), StructField("document", StringType())]))
 def parse(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse_document(t) for t in text], columns=["status", "document"])
