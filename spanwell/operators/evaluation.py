@@ -115,7 +115,8 @@ def video_equal_delta(d) -> str:
 
 def hash_bootstrap_ci(d) -> str:
     """AGG-13..15: percentile interval of resampled video means; draw r, i is a hash modulo the number of videos."""
-    return f"""WITH {_paired(d)}, v AS (SELECT {d.rn('ORDER BY video_id')} - 1 AS i, avg(delta) AS m, count(*) OVER () AS n FROM paired GROUP BY video_id),
+    return f"""WITH {_paired(d)}, vm AS (SELECT video_id, avg(delta) AS m FROM paired GROUP BY video_id), {d.numbered("vn", "vm", d.floor("s.video_id / 4096e0"), "r.video_id")},
+    v AS (SELECT i - 1 AS i, m, n FROM vn),
     reps AS (SELECT {d.rn('ORDER BY a.n_nationkey, b.r_regionkey')} AS r FROM {d.nation} a CROSS JOIN {d.region} b),
     draws AS (SELECT reps.r, {d.hash_int("CAST(reps.r AS VARCHAR(20)) || ':' || CAST(v.i AS VARCHAR(20))")} % v.n AS pick FROM reps CROSS JOIN v),
     means AS (SELECT draws.r, avg(v.m) AS m FROM draws JOIN v ON v.i = draws.pick GROUP BY draws.r)

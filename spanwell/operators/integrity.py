@@ -67,8 +67,7 @@ def interval_containment(d) -> str:
     """JOIN-12: frames inside each true span; spans are dealt to day cells, so that the join has a key."""
     day = "86400e0"
     return f"""WITH c AS (SELECT video_id, query_id, start_s, end_s, {d.floor(f'start_s / {day}')} AS lo, {d.floor(f'end_s / {day}')} AS hi FROM {d.truth}),
-    k AS (SELECT {d.rn('ORDER BY a.n_nationkey, b.r_regionkey')} - 1 AS step FROM {d.nation} a CROSS JOIN {d.region} b),
-    cell AS (SELECT c.*, c.lo + k.step AS cell FROM c JOIN k ON k.step <= c.hi - c.lo),
+    cell AS (SELECT video_id, query_id, start_s, end_s, cell FROM c {d.unnest(d.seq('lo', 'hi'), 'cell')}),
     f AS (SELECT *, {d.floor(f'timestamp_s / {day}')} AS cell FROM {d.frames})
     SELECT cell.video_id, cell.query_id, count(*) AS n, round(avg(f.value), 6) AS mean FROM cell JOIN f ON f.video_id = cell.video_id AND f.cell = cell.cell AND f.timestamp_s BETWEEN cell.start_s AND cell.end_s GROUP BY cell.video_id, cell.query_id"""
 
@@ -80,7 +79,7 @@ def interval_overlap_count(d) -> str:
 
 def cross_video_negatives(d) -> str:
     """JOIN-21: for each query the next query of another video, round and round."""
-    return f"""WITH o AS (SELECT video_id, query_id, {d.rn('ORDER BY query_id')} AS i, count(*) OVER () AS n FROM {d.truth}),
+    return f"""WITH {d.numbered("o", d.truth, d.floor("s.query_id / 4096e0"), "r.query_id")},
     p AS (SELECT a.query_id, b.query_id AS negative, b.video_id AS other, a.video_id, {d.rn('PARTITION BY a.query_id ORDER BY k.step')} AS rn FROM o a CROSS JOIN (SELECT 1 AS step UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) k JOIN o b ON b.i = (a.i + k.step - 1) % a.n + 1 WHERE b.video_id <> a.video_id)
     SELECT query_id, negative FROM p WHERE rn = 1"""
 

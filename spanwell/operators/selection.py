@@ -155,7 +155,7 @@ def first_recent_retention(d) -> str:
 
 def limit_then_shard(d) -> str:
     """PRJ-22: the first rows in order, dealt to shards by position."""
-    return f"SELECT query_id, CAST((rn - 1) % 4 AS BIGINT) AS shard FROM (SELECT query_id, {d.rn('ORDER BY query_id')} AS rn FROM {d.truth}) t WHERE rn <= 1000"
+    return f"SELECT query_id, CAST((rn - 1) % 4 AS BIGINT) AS shard FROM (SELECT query_id, {d.rn('ORDER BY query_id')} AS rn FROM (SELECT query_id FROM {d.truth} ORDER BY query_id LIMIT 1000) f) t"
 
 
 def hash_shards(d) -> str:
@@ -171,7 +171,10 @@ def hash_folds(d) -> str:
 
 def hash_split(d) -> str:
     """HSH-04: the first four fifths of the groups in hash order train, the others validate."""
-    return f"""WITH g AS (SELECT DISTINCT video_id FROM {d.frames}), o AS (SELECT video_id, {d.rn(f"ORDER BY {d.sha("'3:' || CAST(video_id AS VARCHAR(20))")}")} AS i, count(*) OVER () AS n FROM g)
+    key = d.sha("'3:' || CAST(s.video_id AS VARCHAR(20))")
+    rows = f"(SELECT DISTINCT video_id FROM {d.frames})"
+    mark = d.sha("'3:' || CAST(r.video_id AS VARCHAR(20))")
+    return f"""WITH {d.numbered("o", rows, f"substr({key}, 1, 3)", mark)}
     SELECT video_id, CASE WHEN i <= round(n * 8e-1) THEN 'train' ELSE 'validation' END AS part FROM o"""
 
 

@@ -36,6 +36,16 @@ class _Dialect:
         c = self.overlap(a0, a1, b0, b1)
         return f"(CASE WHEN {a1} > {a0} AND {b1} > {b0} THEN {c} / (({a1} - {a0}) + ({b1} - {b0}) - {c}) ELSE 0e0 END)"
 
+    def numbered(self, name: str, source: str, bucket: str, order: str) -> str:
+        """CTEs that end in ``name``: ``source`` with ``i`` (from 1) in the order of (bucket, order) and the count ``n``.
+
+        Rows are numbered within their bucket; only one row a bucket meets in the running sum over all.
+        """
+        return f"""{name}_r AS (SELECT s.*, {bucket} AS bucket FROM {source} s),
+    {name}_c AS (SELECT bucket, count(*) AS c FROM {name}_r GROUP BY bucket),
+    {name}_o AS (SELECT bucket, CAST(sum(c) OVER (ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - c AS BIGINT) AS base, CAST(sum(c) OVER () AS BIGINT) AS n FROM {name}_c),
+    {name} AS (SELECT r.*, o.base + {self.rn(f"PARTITION BY r.bucket ORDER BY {order}")} AS i, o.n FROM {name}_r r JOIN {name}_o o ON o.bucket = r.bucket)"""
+
     @staticmethod
     def rn(over: str) -> str:
         return f"CAST(row_number() OVER ({over}) AS BIGINT)"
@@ -79,6 +89,9 @@ class SparkDialect(_Dialect):
     def unnest(self, x, name):
         return f"LATERAL VIEW explode({x}) AS {name}"
 
+    def seq(self, lo, hi):
+        return f"sequence({lo}, {hi})"
+
     def json_int(self, x, key):
         return f"CAST(get_json_object({x}, '$.{key}') AS BIGINT)"
 
@@ -144,6 +157,9 @@ class DuckDialect(_Dialect):
     def unnest(self, x, name):
         return f", unnest({x}) AS _u({name})"
 
+    def seq(self, lo, hi):
+        return f"range({lo}, {hi} + 1)"
+
     def json_int(self, x, key):
         return f"CAST(json_extract({x}, '$.{key}') AS BIGINT)"
 
