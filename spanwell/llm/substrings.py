@@ -94,7 +94,7 @@ def _profile(length: int):
 
 
 def _extend(length: int):
-    """Windows of ``length`` around surviving seeds: (rank, node, at, first, second), two hashes each."""
+    """Windows of ``length`` around surviving seeds: (rank, th, at, hash, check), two hashes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -113,7 +113,7 @@ def _extend(length: int):
                 yield pa.RecordBatch.from_pydict(
                     {
                         "rank": b.column("rank").slice(lo, hi - lo),
-                        "node": b.column("node").slice(lo, hi - lo),
+                        "th": b.column("th").slice(lo, hi - lo),
                         "at": W.list_array(at.astype(np.int32), cut),
                         "hash": W.list_array(W.long_bytes(W.window_hashes(w, length)[starts] if len(starts) else np.zeros(0, np.uint64)), cut),
                         "check": W.list_array(W.long_bytes(W.window_hashes(W.mix64(w + np.uint64(1)), length)[starts] if len(starts) else np.zeros(0, np.uint64)), cut),
@@ -123,7 +123,7 @@ def _extend(length: int):
     return run
 
 
-WINDOWS = "rank long, node binary, at array<int>, hash array<long>, check array<long>"
+WINDOWS = "rank long, th long, at array<int>, hash array<long>, check array<long>"
 
 
 def _merge(length: int):
@@ -167,37 +167,39 @@ class SubstringDedup:
         self.docs = self.docs.withColumn("th", F.xxhash64("text"))
         self.profile = Stored(self.docs.mapInArrow(_profile(length), "doc_id long, th long, node binary, n_words long, sha string, seeds array<long>"), "sub-profile").df
         rank = F.coalesce("doc_id", F.lit(LAST))
-        self.heads = self.profile.groupBy("node").agg(F.min(rank).alias("rank"), F.min(F.struct(rank.alias("r"), "th")).alias("p"))
+        self.heads = self.profile.groupBy("node").agg(F.min(rank).alias("rank"))
 
     def _texts(self) -> DataFrame:
-        """(node, rank, text, seeds) of one document of each content that holds a repeated seed."""
-        slim = self.profile.where(F.size("seeds") > 0).groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(LAST))).alias("rank"), F.first("seeds").alias("seeds"))
-        seeds = slim.select("node", "rank", F.explode("seeds").alias("seed"))
+        """(rank, th, node, text, seeds) of one document of each content that holds a repeated seed; (rank, th) names it in two longs."""
+        slim = self.profile.where(F.size("seeds") > 0).groupBy("node").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("rank"), "th")).alias("p"), F.first("seeds").alias("seeds"))
+        slim = slim.select("node", "p.rank", "p.th", "seeds")
+        seeds = slim.select("rank", "th", F.explode("seeds").alias("seed"))
         shared = seeds.groupBy("seed").agg(F.min("rank").alias("low"), F.max("rank").alias("high")).where("low < high").select("seed")
-        live = seeds.join(shared, "seed").groupBy("node").agg(F.collect_set("seed").alias("seeds"))
-        pick = live.join(self.heads, "node").select("node", "rank", "seeds", F.col("p.th").alias("h"))
+        # stored, so that both sides of the join have a shuffle of their own, and hot seeds can be split
+        live = seeds.join(Stored(shared, "sub-shared").df, "seed").groupBy("rank", "th").agg(F.collect_set("seed").alias("live"))
+        live = live.join(slim.select("rank", "th", "node"), ["rank", "th"]).select(F.col("rank"), F.col("th").alias("h"), "node", F.col("live").alias("seeds"))
         docs = self.docs.withColumn("r", F.coalesce("doc_id", F.lit(LAST)))
-        found = docs.join(pick, (F.col("r") == F.col("rank")) & (F.col("th") == F.col("h")))
-        return found.select("node", "rank", "text", "seeds").dropDuplicates(["node"])
+        found = docs.join(live, (F.col("r") == F.col("rank")) & (F.col("th") == F.col("h")))
+        return found.select("rank", "th", "node", "text", "seeds").dropDuplicates(["rank", "th"])
 
     def windows(self) -> DataFrame:
-        """Stores and gives (hash, check, rank, node, at) of every window whose seed repeats."""
+        """Stores and gives (hash, check, rank, th, at) of every window whose seed repeats."""
         self.texts = Stored(self._texts(), "sub-texts").df
         per_text = Stored(self.texts.mapInArrow(_extend(self.length), WINDOWS), "sub-windows").df
         z = F.explode(F.arrays_zip("at", "hash", "check")).alias("z")
-        return per_text.select("rank", "node", z).select("rank", "node", "z.at", "z.hash", "z.check")
+        return per_text.select("rank", "th", z).select("rank", "th", "z.at", "z.hash", "z.check")
 
     def removals(self) -> DataFrame:
-        """(node, bad): starts of the windows that an earlier document holds."""
+        """(rank, th, bad): starts of the windows that an earlier document holds."""
         w = self.windows()
         lead = w.groupBy("hash", "check").agg(F.min("rank").alias("low"), F.max("rank").alias("high")).where("low < high").select("hash", "check", "low")
-        self.repeated = w.join(lead, ["hash", "check"])
-        return self.repeated.where(F.col("rank") > F.col("low")).groupBy("node").agg(F.collect_list("at").alias("bad"))
+        self.repeated = w.join(Stored(lead, "sub-lead").df, ["hash", "check"])
+        return self.repeated.where(F.col("rank") > F.col("low")).groupBy("rank", "th").agg(F.collect_list("at").alias("bad"))
 
     def cleaned(self) -> DataFrame:
         """(node, n_removed, removed, kept_text, kept_sha256) of contents that lose some words to another content."""
         bad = self.removals()
-        return self.texts.select("node", "text").join(bad, "node").mapInArrow(
+        return self.texts.select("rank", "th", "node", "text").join(bad, ["rank", "th"]).select("node", "text", "bad").mapInArrow(
             _merge(self.length), "node binary, n_removed long, removed array<struct<start:int,end:int>>, kept_text string, kept_sha256 string"
         )
 
@@ -223,17 +225,17 @@ def longest_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     """
     run = SubstringDedup(docs, length)
     run.removals()
-    level, size = Stored(run.repeated.select("rank", "node", "at", "hash", "check"), "sub-level").df, length
-    best = level.select("node", F.lit(size).alias("longest")).distinct()
+    level, size = Stored(run.repeated.select("rank", "th", "at", "hash", "check"), "sub-level").df, length
+    best = level.select("rank", "th", F.lit(size).alias("longest")).distinct()
     while level.limit(1).count():
-        nxt = level.select(F.col("node").alias("n2"), (F.col("at") - size).alias("a2"), F.col("hash").alias("h2"), F.col("check").alias("c2"))
-        pair = level.join(nxt, (F.col("node") == F.col("n2")) & (F.col("at") == F.col("a2")))
-        pair = pair.select("rank", "node", "at", F.xxhash64("hash", "h2", "check").alias("hash"), F.xxhash64("check", "c2", "hash").alias("check"))
+        nxt = level.select(F.col("rank").alias("r2"), F.col("th").alias("t2"), (F.col("at") - size).alias("a2"), F.col("hash").alias("h2"), F.col("check").alias("c2"))
+        pair = level.join(nxt, (F.col("rank") == F.col("r2")) & (F.col("th") == F.col("t2")) & (F.col("at") == F.col("a2")))
+        pair = pair.select("rank", "th", "at", F.xxhash64("hash", "h2", "check").alias("hash"), F.xxhash64("check", "c2", "hash").alias("check"))
         lead = pair.groupBy("hash", "check").agg(F.min("rank").alias("low"), F.max("rank").alias("high")).where("low < high").select("hash", "check")
         size *= 2
         level = Stored(pair.join(lead, ["hash", "check"]), "sub-level").df
-        best = best.unionByName(level.select("node", F.lit(size).alias("longest")).distinct())
-    best = best.groupBy("node").agg(F.max("longest").alias("longest"))
+        best = best.unionByName(level.select("rank", "th", F.lit(size).alias("longest")).distinct())
+    best = best.groupBy("rank", "th").agg(F.max("longest").alias("longest")).join(run.texts.select("rank", "th", "node"), ["rank", "th"]).select("node", "longest")
     copies = run.profile.groupBy("node").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
     rows = run.profile.select("doc_id", "node", "n_words").join(copies, "node").join(best, "node", "left")
     # a content that several documents share repeats as a whole
