@@ -113,12 +113,13 @@ def video_equal_delta(d) -> str:
     return f"WITH {_paired(d)}, v AS (SELECT video_id, avg(delta) AS m FROM paired GROUP BY video_id) SELECT count(*) AS videos, round(avg(m), 6) AS delta FROM v"
 
 
-def hash_bootstrap_ci(d) -> str:
+def hash_bootstrap_ci(d, replicates: int = 10_000) -> str:
     """AGG-13..15: percentile interval of resampled video means; draw r, i is a hash modulo the number of videos."""
     return f"""WITH {_paired(d)}, vm AS (SELECT video_id, avg(delta) AS m FROM paired GROUP BY video_id), {d.numbered("vn", "vm", d.floor("s.video_id / 4096e0"), "r.video_id")},
     v AS (SELECT i - 1 AS i, m, n FROM vn),
-    reps AS (SELECT {d.rn('ORDER BY a.n_nationkey, b.r_regionkey')} AS r FROM {d.nation} a CROSS JOIN {d.region} b),
-    draws AS (SELECT reps.r, {d.hash_int("CAST(reps.r AS VARCHAR(20)) || ':' || CAST(v.i AS VARCHAR(20))")} % v.n AS pick FROM reps CROSS JOIN v),
+    reps AS (SELECT CAST(r AS BIGINT) AS r FROM (SELECT 1 AS one) o {d.unnest(d.seq(1, replicates), 'r')}),
+    slots AS (SELECT /*+ REPARTITION(64) */ i, n FROM v),
+    draws AS (SELECT reps.r, {d.hash_int("CAST(reps.r AS VARCHAR(20)) || ':' || CAST(slots.i AS VARCHAR(20))")} % slots.n AS pick FROM reps CROSS JOIN slots),
     means AS (SELECT draws.r, avg(v.m) AS m FROM draws JOIN v ON v.i = draws.pick GROUP BY draws.r)
     SELECT count(*) AS n, round({d.pct('m', '0.025')}, 5) AS low, round({d.pct('m', '0.975')}, 5) AS high FROM means"""
 
