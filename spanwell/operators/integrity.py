@@ -78,10 +78,19 @@ def interval_overlap_count(d) -> str:
 
 
 def cross_video_negatives(d) -> str:
-    """JOIN-21: for each query the next query of another video, round and round."""
+    """JOIN-21: for each query the first query of the next run of another video, round and round; none only if there is one video.
+
+    Runs are found within buckets; only one row a bucket meets in the windows over all.
+    """
+    later = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     return f"""WITH {d.numbered("o", d.truth, d.floor("s.query_id / 4096e0"), "r.query_id")},
-    p AS (SELECT a.query_id, b.query_id AS negative, b.video_id AS other, a.video_id, {d.rn('PARTITION BY a.query_id ORDER BY k.step')} AS rn FROM o a CROSS JOIN (SELECT 1 AS step UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) k JOIN o b ON b.i = (a.i + k.step - 1) % a.n + 1 WHERE b.video_id <> a.video_id)
-    SELECT query_id, negative FROM p WHERE rn = 1"""
+    ends AS (SELECT bucket, max_by(video_id, i) AS last FROM o GROUP BY bucket),
+    before AS (SELECT bucket, coalesce(lag(last) OVER (ORDER BY bucket), max_by(last, bucket) OVER ()) AS last FROM ends),
+    m AS (SELECT o.query_id, o.bucket, o.i, CASE WHEN coalesce(lag(o.video_id) OVER (PARTITION BY o.bucket ORDER BY o.i), p.last) <> o.video_id THEN o.query_id END AS head FROM o JOIN before p ON p.bucket = o.bucket),
+    heads AS (SELECT bucket, min(head) AS head FROM m GROUP BY bucket),
+    after AS (SELECT bucket, coalesce(min(head) OVER (ORDER BY bucket DESC {later}), min(head) OVER ()) AS head FROM heads),
+    p AS (SELECT m.query_id, coalesce(min(m.head) OVER (PARTITION BY m.bucket ORDER BY m.i DESC {later}), x.head) AS negative FROM m JOIN after x ON x.bucket = m.bucket)
+    SELECT query_id, negative FROM p WHERE negative IS NOT NULL"""
 
 
 def normalized_text(d) -> str:
