@@ -1,6 +1,6 @@
 """Feature operators in the DataFrame API: cell tokens, change features, quantised vectors, ridge regression by normal equations.
 
-Ids of the inventory: AGG-35, 41, 42; WIN-07, 08; MTH-03, 06, 17..21; SRC-11, 12; ML-01, 02, 08, 09; RET-10.
+Ids of the inventory: AGG-35, 41, 42; WIN-07, 08; MTH-03, 06, 17..19; SRC-11, 12; ML-01, 02, 08, 09.
 """
 
 from __future__ import annotations

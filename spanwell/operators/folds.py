@@ -6,7 +6,7 @@ order.  :func:`run_fold` applies it in batch, one stream a group, and
 both give the same rows.  State is bounded by the parameters of the fold, never
 by the length of the stream.
 
-Ids of the inventory: WIN-09, WIN-11; TIM-04; STM-02, 05..08, 10, 12..17; TOP-10..12, 20..22, 33; MEM-01, 06, 07, 10, 12, 14, 15;
+Ids of the inventory: WIN-09, WIN-11; TIM-04; STM-02, 05..08, 10, 12..17; TOP-10..12, 20..22, 33; MEM-06, 07, 10, 12, 14, 15;
 MTH-05, 24, 27, 28; AGG-36; JOIN-14.
 """
 
