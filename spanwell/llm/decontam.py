@@ -58,8 +58,8 @@ def run_length(n: int) -> int:
 
 
 def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    s, e, to = W.spans(data, offs, W.PUNCT)
-    return W.hashes(data, s, e, lower=True), to
+    found = W.Words(data, offs, W.PUNCT, lower=True)
+    return found.hash(), found.rows
 
 
 def embed_keys(x: np.ndarray) -> np.ndarray:

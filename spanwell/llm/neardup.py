@@ -15,6 +15,10 @@ that nobody shares, or whose bit maps, rule a link out for certain.  So no pair
 bucket is left open, and a large group of near copies is a star of links, not a
 square of pairs.  Every link is confirmed on the full sets.
 
+Texts are told apart by a SHA-256 cut to 128 bits, shingles by 64-bit hashes of
+keyed word hashes (two sets of a million shingles hold a wrong match with a
+chance of 1e-7).
+
 Defined results: null or empty texts and texts without words have an empty set
 and are linked with nothing; fewer words than a shingle are one shingle of all;
 rows with a null doc_id are linked, and never give a component its number while
@@ -24,6 +28,7 @@ no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,9 +54,17 @@ def shingle_hashes(w: np.ndarray, woffs: np.ndarray, size: int) -> tuple[np.ndar
     """(shingle hashes, row offsets): all windows of ``size`` words, or one of all words of a shorter row."""
     n = np.diff(woffs)
     count = np.where(n >= size, n - size + 1, (n > 0).astype(n.dtype))
+    offs = np.concatenate(([0], np.cumsum(count)))
     lo = W.ranges(woffs[:-1], count)
-    hi = lo + np.repeat(np.minimum(n, size), count)
-    return W.range_hashes(w, lo, hi), np.concatenate(([0], np.cumsum(count)))
+    full = np.repeat(n >= size, count)
+    out = np.zeros(len(lo), np.uint64)
+    if full.any():
+        out[full] = W.window_hashes(w, size)[lo[full]]
+    for short in range(1, size):
+        rows = np.flatnonzero(n == short)
+        if len(rows):
+            out[offs[rows]] = W.window_hashes(w, short)[woffs[rows]]
+    return out, offs
 
 
 def _sets(texts: pa.Array, size: int) -> list[np.ndarray]:
@@ -59,9 +72,8 @@ def _sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     data, offs = W.buffers(texts)
     out: list[np.ndarray] = []
     for lo, hi in W.slices(offs):
-        d, o = data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
-        s, e, wo = W.spans(d, o)
-        h, so = shingle_hashes(W.hashes(d, s, e, lower=True), wo, size)
+        found = W.Words(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], lower=True)
+        h, so = shingle_hashes(found.hash(), found.rows, size)
         out += [np.unique(h[so[i] : so[i + 1]]) for i in range(hi - lo)]
     return out
 
@@ -90,12 +102,11 @@ def _profile(size: int):
             data, offs = W.buffers(b.column("text"))
             for lo, hi in W.slices(offs):
                 d, o = data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
-                s, e, wo = W.spans(d, o)
-                w = W.hashes(d, s, e, lower=True)
-                h, so = shingle_hashes(w, wo, size)
+                found = W.Words(d, o, lower=True)
+                h, so = shingle_hashes(found.hash(), found.rows, size)
                 n = np.array([len(np.unique(h[so[i] : so[i + 1]])) for i in range(hi - lo)], np.int64)
                 some = np.flatnonzero(np.diff(so) > 0)
-                node = np.stack([W.range_hashes(w, wo[:-1], wo[1:]), W.range_hashes(W.mix64(w + np.uint64(1)), wo[:-1], wo[1:])], 1)
+                node = [hashlib.sha256(b" ".join(d[o[i] : o[i + 1]].tobytes().lower().split())).digest()[:16] for i in range(hi - lo)]
                 bands = np.zeros((hi - lo, BANDS), np.uint64)
                 if len(some):
                     sig = signatures(h, np.append(so[:-1][some], so[-1]))
@@ -109,7 +120,7 @@ def _profile(size: int):
                         "doc_id": b.column("doc_id").slice(lo, hi - lo),
                         "th": b.column("th").slice(lo, hi - lo),
                         "n_shingles": pa.array(n),
-                        "node": pa.array([None if z else x.tobytes() for z, x in zip(empty, node, strict=True)], pa.binary()),
+                        "node": pa.array([None if z else x for z, x in zip(empty, node, strict=True)], pa.binary()),
                         "bands": W.list_array(W.long_bytes(bands.reshape(-1)), np.arange(hi - lo + 1) * BANDS),
                     }
                 )
@@ -179,7 +190,8 @@ class NearDuplicates:
         nodes = self.profile.where(F.col("node").isNotNull()).dropDuplicates(["node"]).select("node", "n_shingles", "bands")
         keyed = Stored(nodes.select("node", F.explode("bands").alias("h")), "near-bands").df
         shared = keyed.groupBy("h").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead != last").select("h", "lead")
-        buckets = Stored(keyed.join(shared, "h"), "near-buckets").df
+        # stored, so that the join is of two shuffles, and a band that many near copies share can be split
+        buckets = Stored(keyed.join(Stored(shared, "near-shared").df, "h"), "near-buckets").df
         texts = Stored(self._texts(buckets), "near-texts").df
         sizes = nodes.select("node", "n_shingles")
         # round 1: each node with the smallest leader of its buckets

@@ -17,8 +17,9 @@ lose nothing; a null doc_id counts as the largest (two nulls as equal); rows wit
 equal doc_id never cover one another; repeated rows get equal results; an empty
 table gives no rows; further columns are ignored.
 
-Hashes have 64 bits at the first level, where a clash only costs work, and 128
-bits where words are removed.
+Hashes have 64 bits at the first level, where a clash only costs work.  Where
+words are removed they have 128: two window hashes over word hashes of two
+independent keys, or a SHA-256 of the whole text cut to 128 bits.
 """
 
 from __future__ import annotations
@@ -58,34 +59,34 @@ def anchors(w: np.ndarray, woffs: np.ndarray, length: int) -> tuple[np.ndarray,
 def _runs(data, offs):
     for lo, hi in W.slices(offs):
         d, o = data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
-        s, e, wo = W.spans(d, o)
-        yield lo, hi, d, s, e, wo, W.hashes(d, s, e)
+        yield lo, hi, d, o, W.Words(d, o)
 
 
-def _plain(d: np.ndarray, s: np.ndarray, e: np.ndarray) -> str:
-    """SHA-256 of words joined by single spaces."""
-    return hashlib.sha256(b" ".join(bytes(d[s[0] : e[-1]]).split()) if len(s) else b"").hexdigest()
+def _plain(text: np.ndarray):
+    """SHA-256 of the words of a text joined by single spaces."""
+    return hashlib.sha256(b" ".join(text.tobytes().split()))
 
 
 def _profile(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offs = W.buffers(b.column("text"))
-            for lo, hi, d, s, e, wo, w in _runs(data, offs):
-                node = np.stack([W.range_hashes(w, wo[:-1], wo[1:]), W.range_hashes(W.mix64(w + np.uint64(1)), wo[:-1], wo[1:])], 1)
-                starts, least = anchors(w, wo, length)
+            for lo, hi, d, o, found in _runs(data, offs):
+                wo = found.rows
+                starts, least = anchors(found.hash(), wo, length)
                 row = np.searchsorted(wo, starts, "right") - 1
                 if len(starts):
                     new = np.ones(len(starts), bool)
                     new[1:] = (least[1:] != least[:-1]) | (row[1:] != row[:-1])
                     row, least = row[new], least[new]
+                sha = [_plain(d[o[i] : o[i + 1]]) for i in range(hi - lo)]
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": b.column("doc_id").slice(lo, hi - lo),
                         "th": b.column("th").slice(lo, hi - lo),
-                        "node": pa.array([x.tobytes() for x in node], pa.binary()),
+                        "node": pa.array([x.digest()[:16] for x in sha], pa.binary()),
                         "n_words": pa.array(np.diff(wo)),
-                        "sha": pa.array([_plain(d, s[wo[i] : wo[i + 1]], e[wo[i] : wo[i + 1]]) for i in range(hi - lo)]),
+                        "sha": pa.array([x.hexdigest() for x in sha]),
                         "seeds": W.list_array(W.long_bytes(least), np.searchsorted(row, np.arange(hi - lo + 1))),
                     }
                 )
@@ -94,13 +95,14 @@ def _profile(length: int):
 
 
 def _extend(length: int):
-    """Windows of ``length`` around surviving seeds: (rank, th, at, hash, check), two hashes each."""
+    """Windows of ``length`` around surviving seeds: (rank, th, at, hash, check), two hashes each, of independent word hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offs = W.buffers(b.column("text"))
             live = b.column("seeds")
-            for lo, hi, d, s, e, wo, w in _runs(data, offs):
+            for lo, hi, _, _, found in _runs(data, offs):
+                w, wo = found.hash(), found.rows
                 starts, least = anchors(w, wo, length)
                 row = np.searchsorted(wo, starts, "right") - 1
                 keep = np.zeros(len(starts), bool)
@@ -110,13 +112,14 @@ def _extend(length: int):
                 starts, row = starts[keep], row[keep]
                 at = starts - wo[row]
                 cut = np.searchsorted(row, np.arange(hi - lo + 1))
+                two = [W.window_hashes(x, length)[starts] if len(starts) else np.zeros(0, np.uint64) for x in (w, found.hash(1))]
                 yield pa.RecordBatch.from_pydict(
                     {
                         "rank": b.column("rank").slice(lo, hi - lo),
                         "th": b.column("th").slice(lo, hi - lo),
                         "at": W.list_array(at.astype(np.int32), cut),
-                        "hash": W.list_array(W.long_bytes(W.window_hashes(w, length)[starts] if len(starts) else np.zeros(0, np.uint64)), cut),
-                        "check": W.list_array(W.long_bytes(W.window_hashes(W.mix64(w + np.uint64(1)), length)[starts] if len(starts) else np.zeros(0, np.uint64)), cut),
+                        "hash": W.list_array(W.long_bytes(two[0]), cut),
+                        "check": W.list_array(W.long_bytes(two[1]), cut),
                     }
                 )
 
@@ -134,7 +137,8 @@ def _merge(length: int):
             data, offs = W.buffers(b.column("text"))
             gone = b.column("bad")
             out: dict[str, list] = {"n_removed": [], "removed": [], "kept_text": [], "sha": []}
-            for lo, hi, d, s, e, wo, _ in _runs(data, offs):
+            for lo, hi, d, o, words in _runs(data, offs):
+                wo = words.rows
                 for i in range(hi - lo):
                     n = int(wo[i + 1] - wo[i])
                     edge = np.zeros(n + 1, np.int64)
@@ -144,7 +148,7 @@ def _merge(length: int):
                     covered = np.cumsum(edge)[:n] > 0
                     turn = np.flatnonzero(np.diff(np.concatenate(([False], covered, [False])).astype(np.int8)))
                     out["removed"].append([{"start": int(x), "end": int(y)} for x, y in zip(turn[::2], turn[1::2], strict=True)])
-                    raw = bytes(d[s[wo[i]] : e[wo[i + 1] - 1]]).split() if n else []
+                    raw = d[o[i] : o[i + 1]].tobytes().split()
                     kept = b" ".join(raw[j] for j in np.flatnonzero(~covered))
                     out["n_removed"].append(int(covered.sum()))
                     out["kept_text"].append(kept.decode("utf-8"))
@@ -167,7 +171,8 @@ class SubstringDedup:
         self.docs = self.docs.withColumn("th", F.xxhash64("text"))
         self.profile = Stored(self.docs.mapInArrow(_profile(length), "doc_id long, th long, node binary, n_words long, sha string, seeds array<long>"), "sub-profile").df
         rank = F.coalesce("doc_id", F.lit(LAST))
-        self.heads = self.profile.groupBy("node").agg(F.min(rank).alias("rank"))
+        # stored, so that the join with it is of two shuffles, and a text with many copies can be split
+        self.heads = Stored(self.profile.groupBy("node").agg(F.min(rank).alias("rank")), "sub-heads").df
 
     def _texts(self) -> DataFrame:
         """(rank, th, node, text, seeds) of one document of each content that holds a repeated seed; (rank, th) names it in two longs."""

@@ -1,18 +1,21 @@
 """Vectorised word kernels over UTF-8 bytes, for Arrow batches of texts.
 
 A word is a maximal run of bytes other than space and \\x09-\\x0D, which all are
-single bytes in UTF-8.  A word's hash is a polynomial over random byte codes
-modulo 2**64, taken from running sums, so that no step loops over words or
-bytes in Python.  Batches are handled in slices of about ``SLICE`` bytes; a
-longer text is a slice of its own and is handled whole.
+single bytes in UTF-8.  The words of a slice are gathered in an Arrow dictionary,
+and each distinct one is hashed by SipHash under a fixed key, so equal hashes are
+no property of a word's form.  Hashes of word sequences are combined pairwise by
+doubling, with a mixing step between, never by a polynomial.  Batches are handled
+in slices of about ``SLICE`` bytes; a longer text is a slice of its own and is
+handled whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 SLICE = 1 << 18
@@ -22,12 +25,9 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_rng = np.random.default_rng(20240229)
-_CODES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 2**64)
-_WBASE = 0xD6E8FEB86659FD93
-_WINVERSE = pow(_WBASE, -1, 2**64)
+#: Keys of the word hashes: 0 and 1 are independent of each other.
+KEYS = ("spanwell words 1", "spanwell words 2", "spanwell words 3", "spanwell words 4")
+_LEVEL = [np.uint64(0x9E3779B97F4A7C15 * (2 * i + 3) & (1 << 64) - 1) for i in range(64)]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -39,17 +39,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=None)
-def _powers(base: int, bits: int) -> np.ndarray:
-    p = np.full(1 << bits, base, np.uint64)
-    p[0] = 1
-    return np.multiply.accumulate(p)
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    return _powers(base, max(12, int(n).bit_length()))[:n]
-
-
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string array; nulls are empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -95,31 +84,48 @@ def spans(data: np.ndarray, offs: np.ndarray, parts: np.ndarray = SPACE) -> tupl
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, salt: int = 0) -> np.ndarray:
-    """64-bit hashes of byte ranges."""
-    codes = _CODES if not salt else mix64(_CODES + np.uint64(salt)) | np.uint64(1)
-    if lower:
-        codes = codes[LOWER]
-    run = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(codes[data] * powers(_BASE, len(data)), out=run[1:])
-    return mix64((run[ends] - run[starts]) * powers(_INVERSE, len(data) + 1)[starts] + (ends - starts).astype(np.uint64))
+class Words:
+    """The words of a slice: ``starts``, ``ends``, row offsets ``rows``, and each word's place ``code`` among the distinct ones."""
+
+    def __init__(self, data: np.ndarray, offs: np.ndarray, parts: np.ndarray = SPACE, lower: bool = False):
+        self.starts, self.ends, self.rows = spans(data, offs, parts)
+        place = np.zeros(len(self.starts) + 1, np.int64)
+        np.cumsum(self.ends - self.starts, out=place[1:])
+        kept = data[~parts[data]]
+        kept = LOWER[kept] if lower else kept
+        column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.starts), [None, pa.py_buffer(place), pa.py_buffer(kept)])
+        self._coded = column.dictionary_encode()
+        self.code = self._coded.indices.to_numpy()
+
+    @cached_property
+    def distinct(self) -> np.ndarray:
+        return self._coded.dictionary.to_numpy(zero_copy_only=False)
+
+    def hash(self, key: int = 0, most: int | None = None) -> np.ndarray:
+        """64-bit hash of each word, or of its first ``most`` bytes."""
+        if not len(self.code):
+            return np.zeros(0, np.uint64)
+        words = self.distinct if most is None else np.array([x[:most] for x in self.distinct], dtype=object)
+        return pd.util.hash_array(words, hash_key=KEYS[key], categorize=False)[self.code]
 
 
 def window_hashes(w: np.ndarray, length: int) -> np.ndarray:
-    """Hashes of all windows of ``length`` consecutive word hashes (rows run on; the caller drops windows across rows)."""
+    """Hashes of all windows of ``length`` consecutive word hashes (rows run on; the caller drops windows across rows).
+
+    Windows of 2n words combine two of n; those of ``length`` combine the powers of two that make it up.
+    """
     n = len(w) - length + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    run = np.zeros(len(w) + 1, np.uint64)
-    np.cumsum(w * powers(_WBASE, len(w)), out=run[1:])
-    return mix64((run[length:] - run[:-length]) * powers(_WINVERSE, n) + np.uint64(length))
-
-
-def range_hashes(w: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Hashes of word ranges [lo, hi)."""
-    run = np.zeros(len(w) + 1, np.uint64)
-    np.cumsum(w * powers(_WBASE, len(w)), out=run[1:])
-    return mix64((run[hi] - run[lo]) * powers(_WINVERSE, len(w) + 1)[lo] + (hi - lo).astype(np.uint64))
+    out, done, level = None, 0, w
+    for bit in range(length.bit_length()):
+        if length >> bit & 1:
+            part = level[done : done + n]
+            out = part if out is None else mix64(out ^ _LEVEL[bit + 20]) + part
+            done += 1 << bit
+        if length >> (bit + 1):
+            level = mix64(level[: -(1 << bit)] ^ _LEVEL[bit]) + level[1 << bit :]
+    return mix64(out ^ _LEVEL[40] + np.uint64(length))
 
 
 def row_windows(woffs: np.ndarray, length: int) -> np.ndarray:
