@@ -1,7 +1,9 @@
 """Chat formatting in Spark expressions only.
 
 Turn structs of a conversation are collected and sorted, adjacent turns of one
-role are merged into one block, and blocks are concatenated:
+role are merged into one block by slices of that array, and blocks are
+concatenated; the places of texts come from running sums over the sorted rows,
+so the work grows with the turns of a conversation, not with their square:
 
     <|im_start|>role NEWLINE text [<|im_sep|>text ...]<|im_end|> NEWLINE
 
@@ -19,7 +21,7 @@ as wide as the conversation itself.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n"
@@ -47,42 +49,28 @@ def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     ``loss_spans`` are code point offsets (start, end exclusive) of the texts of
     ``loss_role`` in ``formatted``, in order.
     """
-    rows = turns.select(
-        "conv_id",
-        F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"),
-    )
-    sorted_turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    # every turn with the text that goes before and after it: opening a block, or a separator inside one
-    pieces = F.transform(
-        "ts",
-        lambda t, i: F.struct(
-            F.when((i > 0) & (t["role"] == F.element_at(F.col("ts"), F.when(i > 0, i).otherwise(1))["role"]), F.lit(SEP)).otherwise(
-                F.concat(F.when(i > 0, F.lit(END)).otherwise(F.lit("")), F.lit(START), escape_role(t["role"]), F.lit("\n"))
-            ).alias("pre"),
-            escape_text(t["text"]).alias("text"),
-            (t["role"] == loss_role).alias("loss"),
-        ),
-    )
-    placed = sorted_turns.select("conv_id", pieces.alias("ps"))
-    spans = F.aggregate(
-        "ps",
-        F.struct(F.lit(0).alias("at"), F.lit(None).cast("array<struct<start:int,end:int>>").alias("spans")),
-        lambda s, p: F.struct(
-            (s["at"] + F.length(p["pre"]) + F.length(p["text"])).alias("at"),
-            F.when(
-                p["loss"],
-                F.concat(
-                    F.coalesce(s["spans"], F.expr("cast(array() as array<struct<start:int,end:int>>)")),
-                    F.array(F.struct((s["at"] + F.length(p["pre"])).alias("start"), (s["at"] + F.length(p["pre"]) + F.length(p["text"])).alias("end"))),
-                ),
-            )
-            .otherwise(s["spans"])
-            .alias("spans"),
-        ),
-        lambda s: F.coalesce(s["spans"], F.expr("cast(array() as array<struct<start:int,end:int>>)")),
-    )
-    text = F.concat(F.array_join(F.transform("ps", lambda p: F.concat(p["pre"], p["text"])), ""), F.lit(END))
-    return placed.select("conv_id", text.alias("formatted"), spans.alias("loss_spans"))
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("raw"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "raw")
+    rows = rows.withColumn("before", F.lag("role").over(order)).withColumn("text", escape_text(F.col("raw")))
+    opened = F.lit(len(START)) + F.length(escape_role(F.col("role"))) + 1
+    lead = F.when(F.col("before").isNull(), opened).when(F.col("before") == F.col("role"), F.lit(len(SEP))).otherwise(opened + len(END))
+    rows = rows.withColumn("end", F.sum(lead + F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    turn = F.struct("turn", "role", "raw", "end", "text", F.coalesce(F.col("before") == F.col("role"), F.lit(False)).alias("joins"))
+    sorted_turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("ts"))
+    # the places (from 1) at which a block of one role begins, and one place past the last turn
+    begins = F.filter(F.sequence(F.lit(1), F.size("ts")), lambda i: ~F.element_at(F.col("ts"), i)["joins"])
+    placed = sorted_turns.withColumn("at", F.concat(begins, F.array(F.size("ts") + 1)))
+
+    def block(i: Column, k: Column) -> Column:
+        block_turns = F.slice("ts", i, F.element_at(F.col("at"), k + 2) - i)
+        texts = F.array_join(F.transform(block_turns, lambda t: t["text"]), SEP)
+        return F.concat(F.lit(START), escape_role(block_turns[0]["role"]), F.lit("\n"), texts, F.lit(END))
+
+    formatted = F.array_join(F.transform(F.slice("at", 1, F.size("at") - 1), block), "")
+    said = F.filter("ts", lambda t: t["role"] == loss_role)
+    spans = F.transform(said, lambda t: F.struct((t["end"] - F.length(t["text"])).alias("start"), t["end"].alias("end")))
+    return placed.select("conv_id", formatted.alias("formatted"), spans.alias("loss_spans"))
 
 
 def parse_chats(formatted: DataFrame) -> DataFrame:
