@@ -36,11 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .common import packed
 
 WALKS, TABLES, SAMPLED = 16, 64, 2
 #: Share of an item's words that may be edited, as a fraction.
 EDITS, OF = 1, 5
 BLOCK_WORDS = 2_000_000
+#: Windows, or words of windows, that are held at once.
+EXPANDED = 1 << 20
 _PAD = np.uint64(0xA0761D6478BD642F)
 
 _rng = np.random.default_rng(77003141)
@@ -114,10 +117,13 @@ class Items:
         self.runs = {}
         for q, parts in runs.items():
             g, i, o = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.argsort(g, kind="stable")
+            # items of one length that share a run at one place ask for the same window
+            order = np.lexsort((o, self.size[i], g))
+            g, i, o = g[order], i[order], o[order]
+            order = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (o[1:] != o[:-1]) | (self.size[i[1:]] != self.size[i[:-1]]))))
             seen = np.zeros(1 << 22, bool)
             seen[(g & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-            self.runs[q] = (g[order], i[order], o[order], seen)
+            self.runs[q] = (g[order], self.size[i[order]], o[order], seen)
         self.keys = {}
         for n in np.unique(self.size[self.size > 0]):
             own = np.flatnonzero(self.size == n)
@@ -126,7 +132,7 @@ class Items:
     def windows(self, w: np.ndarray, to: np.ndarray) -> np.ndarray:
         """Distinct (row, start, length) of the windows to embed, ordered."""
         out = []
-        for q, (g, i, o, seen) in self.runs.items():
+        for q, (g, size, o, seen) in self.runs.items():
             h = W.window_hashes(w, q)
             at = np.flatnonzero(seen[(h & np.uint64((1 << 22) - 1)).astype(np.int64)])
             if not len(at):
@@ -135,10 +141,13 @@ class Items:
             inside = at + q <= to[row + 1]
             at, row = at[inside], row[inside]
             lo, hi = np.searchsorted(g, h[at], "left"), np.searchsorted(g, h[at], "right")
-            hit = W.ranges(lo, hi - lo)
-            at, row = np.repeat(at, hi - lo), np.repeat(row, hi - lo)
-            start = at - o[hit]
-            out.append(np.stack([row, start, self.size[i[hit]]], 1))
+            # a run that many windows hold is expanded in blocks, and what they have in common is kept once
+            cut = np.unique(np.searchsorted(np.cumsum(hi - lo), np.arange(0, int((hi - lo).sum()) + 1, EXPANDED), "left"))
+            for x, y in zip(cut, [*cut[1:], len(at)], strict=True):
+                n = hi[x:y] - lo[x:y]
+                hit = W.ranges(lo[x:y], n)
+                found = np.stack([np.repeat(row[x:y], n), np.repeat(at[x:y], n) - o[hit], size[hit]], 1)
+                out.append(np.unique(found, axis=0))
         if not out:
             return np.zeros((0, 3), np.int64)
         return np.unique(np.concatenate(out), axis=0)
@@ -151,8 +160,9 @@ class Items:
             own, keys = self.keys[int(n)]
             order = [np.argsort(keys[:, t], kind="stable") for t in range(TABLES)]
             mine = wanted[wanted[:, 2] == n]
-            for lo in range(0, len(mine), 20000):
-                rows, starts = mine[lo : lo + 20000, 0], mine[lo : lo + 20000, 1]
+            step = max(1, EXPANDED // int(n))
+            for lo in range(0, len(mine), step):
+                rows, starts = mine[lo : lo + step, 0], mine[lo : lo + step, 1]
                 place = starts[:, None] + np.arange(n)
                 ok = (place >= to[rows][:, None]) & (place < to[rows + 1][:, None])
                 x = np.where(ok, w[np.clip(place, 0, len(w) - 1)], _PAD)
@@ -189,8 +199,8 @@ def item_blocks(benchmark: DataFrame) -> Iterator[Items]:
         yield Items(ids, texts)
 
 
-def _scan(b: pa.RecordBatch, items: Items):
-    data, offs = W.buffers(b.column("text"))
+def _scan(texts: pa.Array, items: Items):
+    data, offs = W.buffers(texts)
     for lo, hi in W.slices(offs):
         w, to = word_hashes(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
         yield lo, hi, items.find(w, to)
@@ -208,7 +218,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 ids = b.column("doc_id")
-                for lo, _, found in _scan(b, shared.value):
+                for lo, _, found in _scan(b.column("text"), shared.value):
                     hits = sorted(found)
                     yield pa.RecordBatch.from_pydict(
                         {
@@ -232,15 +242,16 @@ def to_arrow(kind):
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no item; a narrow pass for each block of items, nothing is shuffled."""
+    rows = packed(docs)
     for items in item_blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 keep = np.ones(b.num_rows, bool)
-                for lo, _, found in _scan(b, shared.value):
+                for lo, _, found in _scan(b.column("row").field("text"), shared.value):
                     keep[[lo + r for r, _ in found]] = False
                 yield b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        rows = rows.mapInArrow(run, rows.schema)
+    return rows.select("row.*")
