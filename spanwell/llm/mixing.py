@@ -12,8 +12,10 @@ words taken from a source so differ from its target by less than one document.
 All draws hash the document, so reruns agree and a lost task repeats itself.
 
 Defined results: null text has size 0 and takes nothing; a null source sorts
-last and is a source of its own; a null doc_id hashes as a text; repeated rows
-are rounded as documents of their own; an empty table gives no rows.
+last and is a source of its own; a null doc_id is an id of its own; repeated rows
+are numbered and rounded as documents of their own, in groups of their own; an
+empty table gives no rows; further columns are ignored by :func:`mix`, and by
+:func:`mixed_documents` kept as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,41 +25,57 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Stored, replace_columns, word_count
+from .common import Stored, content_hash, packed, repeated, scratch, word_count
 
 #: No source takes more than this many times its own size.
 MOST_COPIES = 3
 
 #: Documents that one task of the reduction tree rounds together, on average.
-FAN_IN = 4096
+FAN_IN = 512
+
+
+def _ranked(sizes: DataFrame) -> DataFrame:
+    """``sizes`` with ``place``, the number of each source (from 0) in code point order, nulls last.
+
+    Sources are sorted over all partitions; a partition's numbers start at the
+    count of those before it, one number a partition.
+    """
+    runs = Stored(sizes.orderBy(F.col("source").asc_nulls_last()).withColumn("run", F.spark_partition_id()), "mix-sources").df
+    before, start = {}, 0
+    for r in runs.groupBy("run").count().orderBy("run").collect():
+        before[r["run"]], start = start, start + r["count"]
+    inside = Window.partitionBy("run").orderBy(F.col("source").asc_nulls_last())
+    first = F.create_map(*[F.lit(x) for kv in before.items() for x in kv]) if before else F.create_map(F.lit(0), F.lit(0))
+    return runs.withColumn("place", F.element_at(first, F.col("run")) + F.row_number().over(inside) - 1).drop("run")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST_COPIES) -> DataFrame:
-    """(source, source_size, target) from (source, source_size): one row a source.
+    """``sizes`` (source, source_size and more; one row a source) with its ``target``.
 
     Sources in code point order, nulls last, weigh ``weights`` in turn and share
     the sum of all sizes.  A target stops at ``most`` times its source's size;
-    what is cut is shared anew by weight.  That fixpoint is the level L at which
-    min(cap, L * weight) adds up to the whole: sources are sorted by cap over
-    weight, and the first position where the rest fits gives L.
+    what is cut is shared anew by weight, until no target is above.  A round is
+    one sum over the sources, in whole numbers, so its outcome has no rounding.
     """
-    place = Window.orderBy(F.col("source").asc_nulls_last())
     table = F.array(*[F.lit(w) for w in weights])
-    w = sizes.withColumn("_w", F.element_at(table, F.pmod(F.row_number().over(place) - 1, F.lit(len(weights))) + 1).cast("double"))
-    w = w.withColumn("_cap", F.col("source_size").cast("double") * most)
-    order = Window.orderBy(F.col("_cap") / F.col("_w"), F.col("source").asc_nulls_last())
-    every = Window.partitionBy()
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    w = w.withColumn("_capped", F.coalesce(F.sum("_cap").over(before), F.lit(0.0)))
-    w = w.withColumn("_open", F.sum("_w").over(every) - F.coalesce(F.sum("_w").over(before), F.lit(0.0)))
-    w = w.withColumn("_level", (F.sum("source_size").over(every) - F.col("_capped")) / F.col("_open"))
-    # the first source, in that order, that the level does not lift over its cap
-    w = w.withColumn("_fits", F.min(F.when(F.col("_level") * F.col("_w") <= F.col("_cap"), F.col("_cap") / F.col("_w"))).over(every))
-    w = w.withColumn("_l", F.max(F.when(F.col("_cap") / F.col("_w") == F.col("_fits"), F.col("_level"))).over(every))
-    return w.select("source", "source_size", F.least("_cap", F.coalesce(F.col("_l") * F.col("_w"), F.col("_cap"))).alias("target"))
+    s = _ranked(sizes).withColumn("w", F.element_at(table, F.pmod(F.col("place"), F.lit(len(weights))).cast("int") + 1))
+    s = Stored(s.withColumn("cap", F.col("source_size").cast("decimal(38,0)") * most), "mix-ranked").df
+    whole = s.agg(F.sum("source_size").alias("size"), F.sum("w").alias("w")).first()
+    total, weight = int(whole["size"] or 0), int(whole["w"] or 0)
+    cut, held = 0, 0  # what the capped sources take, and their weight
+    while True:
+        share = F.col("w").cast("decimal(38,0)") * F.lit(total - cut).cast("decimal(38,0)")
+        above = share.cast("decimal(38,0)") > (F.col("cap").cast("decimal(38,0)") * F.lit(weight - held).cast("decimal(38,0)")).cast("decimal(38,0)")
+        found = s.where(above).agg(F.sum("cap").alias("cap"), F.sum("w").alias("w")).first()
+        now = int(found["cap"] or 0), int(found["w"] or 0)
+        if now == (cut, held):
+            break
+        cut, held = now
+    level = (total - cut) / (weight - held) if weight > held else 0.0
+    return s.withColumn("target", F.when(above, F.col("cap").cast("double")).otherwise(F.col("w") * F.lit(float(level)))).drop("place", "w", "cap")
 
 
 def _draw(*parts: object) -> float:
@@ -98,68 +116,65 @@ def pivot(size: np.ndarray, p: np.ndarray, draws: np.ndarray) -> tuple[np.ndarra
     return p, i
 
 
-def _round_group(seed: int, level: int, last: bool):
+def _round_group(seed: int, level: int):
     def run(_: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["_h", "_id", "_size", "_whole", "_p"], kind="stable", na_position="last").reset_index(drop=True)
-        draws = np.array([_draw(seed, level, h, n) for n, h in enumerate(g["_h"])])
-        p, left = pivot(g["_size"].to_numpy(float), g["_p"].to_numpy(float), draws)
-        if left >= 0 and last:
-            p[left] = 1.0 if _draw(seed, "last", g["_h"][left]) < p[left] else 0.0
+        g = g.sort_values(["h", "size"], kind="stable").reset_index(drop=True)
+        draws = np.array([_draw(seed, level, h) for h in g["h"]])
+        p, left = pivot(g["size"].to_numpy(float), g["p"].to_numpy(float), draws)
+        if left >= 0 and g["groups"][0] <= 1:  # all that is left of a source
+            p[left] = 1.0 if _draw(seed, "last", g["h"][left]) < p[left] else 0.0
             left = -1
-        g["_p"] = p
-        g["_open"] = np.arange(len(g)) == left
+        g["p"] = p
+        g["open"] = np.arange(len(g)) == left
         return g
 
     return run
 
 
-def mix(docs: DataFrame, rows: int, weights: tuple[int, ...] = (1, 2, 3), seed: int = 1) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies) for every row of ``docs`` (doc_id, source, text).
-
-    ``rows`` counts ``docs``; the depth of the reduction tree follows from it.
-    """
-    base = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("_h"))
+def _copies(base: DataFrame, weights: tuple[int, ...], seed: int) -> DataFrame:
+    """``base`` (id, source, size, key) with source_size, target and copies, one row a row; equal rows are numbered first."""
+    cells = base.groupBy("id", "source", "size", "key").agg(F.count(F.lit(1)).alias("n"))
+    base = repeated(cells, "n", "i").select("id", "source", "size", "key", F.xxhash64(F.lit(seed), "key", "i").alias("h"))
     base = Stored(base, "mix-sizes").df
-    sources = Stored(source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size"))), "mix-targets").df
-    base = base.join(sources.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    sources = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
+    sources = Stored(source_targets(sources, weights), "mix-targets").df
+    base = base.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    base = base.withColumn("_ratio", F.least(ratio, F.lit(float(MOST_COPIES))))
-    whole = F.floor(F.col("_ratio") + 1e-12)
-    base = base.withColumn("_whole", whole.cast("long")).withColumn("_p", F.greatest(F.col("_ratio") - whole, F.lit(0.0)))
-    # what is rounded, without the texts; documents without words need no draw
-    open_rows = base.select(F.col("doc_id").alias("_id"), "source", F.col("size").alias("_size"), "source_size", "target", "_whole", "_p", "_h")
-    schema = open_rows.withColumn("_open", F.lit(True)).withColumn("_g", F.lit(0).cast("long")).schema
-    done: list[DataFrame] = []
-    level, left = 0, rows
+    base = base.withColumn("ratio", F.least(ratio, F.lit(float(MOST_COPIES))))
+    whole = F.floor(F.col("ratio") + 1e-12)
+    base = base.withColumn("whole", whole.cast("long")).withColumn("p", F.greatest(F.col("ratio") - whole, F.lit(0.0))).drop("ratio")
+    most = sources.agg(F.max("source_rows")).first()[0] or 0
+    open_rows, done, level = base.withColumn("open", F.lit(True)), None, 0
     while True:
-        last = left <= FAN_IN
-        groups = 1 if last else -(-left // FAN_IN)
-        # all rows of a source meet only when they are few; before that, in groups by hash
-        dealt = open_rows.select(*[c for c in open_rows.columns if c not in ("_g", "_open")]).withColumn("_g", F.pmod(F.xxhash64(F.lit(level), F.col("_h")), F.lit(groups)))
-        cols = [f.name for f in schema]
-        rounded = dealt.withColumn("_open", F.lit(True)).select(*cols).groupBy("source", "_g").applyInPandas(_round_group(seed, level, last), schema)
-        rounded = Stored(rounded, f"mix-level{level}").df
-        done.append(rounded.where(~F.col("_open")))
-        if last:
+        fan = FAN_IN ** (level + 1)
+        # a source's rows are dealt by hash to groups of FAN_IN on average; each group leaves one row at most
+        dealt = open_rows.withColumn("groups", F.ceil(F.col("source_rows") / fan)).withColumn("g", F.pmod(F.xxhash64(F.lit(level), "h"), F.col("groups")))
+        rounded = Stored(dealt.groupBy("source", "g").applyInPandas(_round_group(seed, level), dealt.schema), f"mix-level{level}").df
+        settled = rounded.where(~F.col("open"))
+        done = settled if done is None else done.unionByName(settled)
+        if most <= fan:
             break
-        open_rows = rounded.where(F.col("_open"))
-        left = open_rows.groupBy("source").count().agg(F.max("count")).first()[0] or 0
+        open_rows = rounded.where("open").drop("groups", "g")
         level += 1
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out.select(
-        F.col("_id").alias("doc_id"), "source", F.col("_size").alias("size"), "source_size", "target", (F.col("_whole") + F.col("_p").cast("long")).alias("copies"), F.col("_h").alias("_key")
-    )
-
-
-def mixed_documents(docs: DataFrame, rows: int, weights: tuple[int, ...] = (1, 2, 3), seed: int = 1) -> DataFrame:
-    """``docs`` with every document as often as the mix takes it."""
-    docs = replace_columns(docs, ["_key", "_copies"])
-    plan = mix(docs, rows, weights, seed).where(F.col("copies") > 0)
-    # equal rows share a key; their copies add up and are dealt to them again
-    plan = plan.groupBy(F.col("doc_id").alias("_id"), F.col("_key").alias("_k")).agg(F.sum("copies").alias("_copies"))
-    keyed = docs.withColumn("_key", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")))
-    one = keyed.dropDuplicates(["doc_id", "_key"])
-    joined = one.join(plan, one["doc_id"].eqNullSafe(plan["_id"]) & (one["_key"] == plan["_k"]))
-    return joined.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    return done.select("id", "source", "size", "source_size", "target", (F.col("whole") + F.col("p").cast("long")).alias("copies"), "key")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 1) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies) for every row of ``docs`` (doc_id, source, text)."""
+    base = docs.select(F.col("doc_id").alias("id"), "source", word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("key"))
+    return _copies(base, weights, seed).withColumnRenamed("id", "doc_id").drop("key")
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 1) -> DataFrame:
+    """``docs`` with every document as often as the mix takes it; rows that differ in any column are documents of their own."""
+    rows = packed(docs)
+    rows = rows.withColumn("key", content_hash(rows))
+    field: dict[str, Column] = {c: F.col("row").getField(c) for c in ("source", "text")}
+    base = rows.select(F.lit(0).alias("id"), field["source"].alias("source"), word_count(field["text"]).alias("size"), "key")
+    with scratch() as kept:
+        plan = _copies(base, weights, seed).where(F.col("copies") > 0)
+        # equal rows share a key; their copies add up and are dealt to them again
+        plan = Stored(plan.groupBy("key").agg(F.sum("copies").alias("copies")), "mix-plan").df
+        kept.append(plan)
+    one = rows.groupBy("key").agg(F.first("row").alias("row"))
+    return repeated(one.join(plan, "key"), "copies", "copy").select("row.*")

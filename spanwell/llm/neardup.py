@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import Stored
+from .common import WORD_CLASS, Stored, content_hash, packed, scratch
 from .components import components
 
 PERMUTATIONS = 64
@@ -187,6 +187,11 @@ class NearDuplicates:
 
     def links(self) -> DataFrame:
         """(node, component) of nodes with a link to another text."""
+        with scratch() as kept:
+            kept.append(self._links())
+        return kept[0]
+
+    def _links(self) -> DataFrame:
         nodes = self.profile.where(F.col("node").isNotNull()).dropDuplicates(["node"]).select("node", "n_shingles", "bands")
         keyed = Stored(nodes.select("node", F.explode("bands").alias("h")), "near-bands").df
         shared = keyed.groupBy("h").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead != last").select("h", "lead")
@@ -221,7 +226,6 @@ class NearDuplicates:
         cross = x.join(y, (x["h"] == y["h"]) & able & (first_shared == x["h"]) & enough)
         cross = Stored(cross.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "near-cross").df
         third = self._verify(cross, texts)
-        self.rounds = (star, open_, cross)
         return Stored(components(label.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(third)), "near-components").df
 
     @staticmethod
@@ -251,7 +255,8 @@ class NearDuplicates:
         label = self.links()
         rows = self.profile.select("doc_id", "th", "n_shingles", "node").join(label, "node", "left")
         rows = rows.withColumn("component", F.coalesce("component", "node"))
-        first = rows.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("doc_id").alias("component_id"))
+        # stored, so that the join with it can split a component of a great many documents
+        first = Stored(rows.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("doc_id").alias("component_id")), "near-first").df
         out = rows.where(F.col("component").isNotNull()).join(first, "component").unionByName(rows.where(F.col("component").isNull()).withColumn("component_id", F.col("doc_id")))
         return out.select("doc_id", "th", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), "node")
 
@@ -259,15 +264,17 @@ class NearDuplicates:
 def one_of_each(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
     """The rows of ``docs``, all columns, without near duplicates: one row of each component stays.
 
-    It is the row with the smallest doc_id (null last, then by content); rows
-    without words have no duplicates and all stay.
+    It is the row with the smallest doc_id (null last, then by content, of all
+    columns); rows without words have no duplicates and all stay.
     """
+    rows = packed(docs)
+    rows = rows.select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("row.text", F.lit(""))).alias("th"), content_hash(rows).alias("all"))
     found = NearDuplicates(docs, percent, shingle)
-    label = found.links()
-    rows = found.profile.where(F.col("node").isNotNull()).select("doc_id", "th", "node").join(label, "node", "left")
-    first = rows.groupBy(F.coalesce("component", "node").alias("c")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("p"))
-    first = first.select(F.col("p.doc_id").alias("_d"), F.col("p.th").alias("_h"))
-    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    keyed = docs.where(worded).withColumn("_t", F.xxhash64("text"))
-    kept = keyed.join(first, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_h"))).dropDuplicates(["_d", "_h"])
-    return kept.select(*docs.columns).unionByName(docs.where(~worded))
+    worded = found.profile.where(F.col("node").isNotNull()).select("doc_id", "th", "node").join(found.links(), "node", "left")
+    first = worded.groupBy(F.coalesce("component", "node").alias("c")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("p"))
+    first = first.select(F.col("p.doc_id").alias("d"), F.col("p.th").alias("h"))
+    some = F.coalesce(F.col("row.text").rlike(WORD_CLASS), F.lit(False))
+    # rows that agree in doc_id and text, but not in the rest: the least hash of all columns stays
+    kept = rows.where(some).join(first, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")))
+    kept = kept.groupBy("doc_id", "th").agg(F.min_by("row", "all").alias("row")).select("row.*")
+    return kept.unionByName(docs.where(~F.coalesce(F.col("text").rlike(WORD_CLASS), F.lit(False))))

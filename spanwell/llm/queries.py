@@ -27,8 +27,7 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    plan = mixing.mix(docs, docs.count())
+    plan = mixing.mix(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
@@ -60,9 +59,9 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    held_out = F.coalesce(toxicity.fold(F.col("doc_id")) == 0, F.lit(False))
-    return toxicity.score(docs, model, ["doc_id"]).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    found = toxicity.scored(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(toxicity.fold(F.col("row.doc_id")) == 0, F.lit(False))
+    return found.select("row.doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,17 +5,17 @@ shard count.  No ring table exists, and with one more shard a key either stays
 or moves into the new shard.
 
 Defined results: a null key hashes as the text ``null``; repeated rows land in
-the same shard; an empty table gives an empty result; input columns named like
-an output are replaced.
+the same shard; an empty table gives an empty result; an input column named like
+an output is kept as ``input_`` and its name; all other columns stay as they are.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql import functions as F
 
-from .common import replace_columns
+from .common import packed, repeated, set_aside
 
 #: Jumps grow with the logarithm of the shard count; more than this many have a chance below 1e-40 for any count up to 2**31.
 MOST_JUMPS = 160
@@ -47,7 +47,8 @@ def jump_shard(key: Column, shards: int) -> Column:
 
 def assign_shards(df: DataFrame, key: str, shards: int, name: str = "shard") -> DataFrame:
     """Every row of ``df`` with its shard; a projection, so nothing is shuffled."""
-    return replace_columns(df, [name]).withColumn(name, jump_shard(df[key], shards))
+    names = [*set_aside(df, name).columns, name]
+    return packed(df).withColumn("made", jump_shard(F.col("row").getField(key), shards)).select("row.*", "made").toDF(*names)
 
 
 def number_slots(df: DataFrame, shard: str, rows: int, name: str = "slot") -> DataFrame:
@@ -57,18 +58,16 @@ def number_slots(df: DataFrame, shard: str, rows: int, name: str = "slot") -> Da
     are numbered apart, and their first numbers come from a running sum over one
     small row for each shard and group.  Equal rows travel as one row with a count.
     """
-    df = replace_columns(df, [name])
-    cols = df.columns
+    names = [*set_aside(df, name).columns, name]
     groups = max(1, -(-rows // GROUP_ROWS))
-    cells = df.groupBy(*[F.col(f"`{c}`") for c in cols]).agg(F.count(F.lit(1)).alias("_n"))
-    cells = cells.withColumn("_g", F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(f"`{c}`").cast("string") for c in cols])), 1, 15), 16, 10).cast("long"), F.lit(groups)))
-    sizes = cells.groupBy(shard, "_g").agg(F.sum("_n").alias("_size"))
-    order = Window.partitionBy(shard).orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
-    first = sizes.select(F.col(shard).alias("_s"), F.col("_g").alias("_h"), F.coalesce(F.sum("_size").over(order), F.lit(0)).alias("_first"))
-    cells = cells.join(first, (cells[shard] == first["_s"]) & (cells["_g"] == first["_h"]))
-    within = Window.partitionBy(shard, "_g").orderBy(*[F.col(f"`{c}`") for c in cols]).rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("_from", F.col("_first") + F.coalesce(F.sum("_n").over(within), F.lit(0)))
+    cells = packed(df).groupBy("row").agg(F.count(F.lit(1)).alias("n")).withColumn("shard", F.col("row").getField(shard))
+    text = F.concat_ws("|", *[F.col("row").getField(c).cast("string") for c in df.columns])
+    cells = cells.withColumn("g", F.pmod(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long"), F.lit(groups)))
+    sizes = cells.groupBy("shard", "g").agg(F.sum("n").alias("size"))
+    order = Window.partitionBy("shard").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
+    first = sizes.select(F.col("shard").alias("s"), F.col("g").alias("h"), F.coalesce(F.sum("size").over(order), F.lit(0)).alias("first"))
+    cells = cells.join(first, (F.col("shard") == F.col("s")) & (F.col("g") == F.col("h")))
+    within = Window.partitionBy("shard", "g").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("from", F.col("first") + F.coalesce(F.sum("n").over(within), F.lit(0)))
     # equal rows come back in blocks, so that no array holds them all
-    cells = cells.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / GROUP_ROWS))))
-    low = F.col("_block") * GROUP_ROWS
-    return cells.select(*[F.col(f"`{c}`") for c in cols], F.explode(F.sequence(F.col("_from") + low, F.col("_from") + F.least(low + GROUP_ROWS, F.col("_n")) - 1)).alias(name))
+    return repeated(cells, "n", "i").withColumn("made", F.col("from") + F.col("i")).select("row.*", "made").toDF(*names)

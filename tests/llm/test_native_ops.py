@@ -76,7 +76,7 @@ def test_shard_query(spark, tmp_path, monkeypatch):
     assert all(sorted(v) == list(range(len(v))) for v in by.values())
     assert len({r["shard"] for r in got if r["doc_id"] == 7}) == 1
     kept = sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string, shard string"), "doc_id", 4)
-    assert kept.columns == ["doc_id", "text", "shard"] and kept.count() == len(rows)
+    assert kept.columns == ["doc_id", "text", "input_shard", "shard"] and sorted(map(str, (tuple(r)[:3] for r in kept.collect()))) == sorted(map(str, rows))
 
 
 def expected_targets(size, weights=(1, 2, 3), most=3):
@@ -111,14 +111,36 @@ def test_mixing(spark, tmp_path, monkeypatch, fan_in):
     sums = defaultdict(float)
     for r in got:
         assert 0 <= r["taken"] <= 3 * r["size"] and (not r["size"] or r["taken"] % r["size"] == 0)
-    full = mixing.mix(spark.read.parquet(f"{d}/documents.parquet"), len(rows)).collect()
+    full = mixing.mix(spark.read.parquet(f"{d}/documents.parquet")).collect()
     for r in full:
         assert abs(r["target"] - target[r["source"]]) < 1e-6 * max(1, target[r["source"]])
         sums[r["source"]] += r["size"] * r["copies"]
     assert all(abs(sums[s] - target[s]) <= 42 for s in target)
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    assert mixing.mixed_documents(docs, len(rows)).count() == sum(r["copies"] for r in full)
-    assert mixing.mix(docs.limit(0), 0).count() == 0
+    mixed = [tuple(r) for r in mixing.mixed_documents(docs).collect()]
+    sums = defaultdict(float)
+    for _, t, s in mixed:
+        sums[s] += words(t)
+    assert set(mixed) <= set(rows) and all(abs(sums[s] - target[s]) <= 42 for s in target)
+    assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mixed_documents(docs.limit(0)).count() == 0
+
+
+def test_mixing_of_equal_rows_and_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "FAN_IN", 8)
+    # a third of all rows is one document; as many sources again as other rows
+    rows = [(-1, "a b c", "s0")] * 200 + [(i, "w " * (i % 7), f"host{i % 150}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs).collect()
+    size = defaultdict(int)
+    for _, t, s in rows:
+        size[s] += len(t.split())
+    target, sums = expected_targets(dict(size)), defaultdict(int)
+    for r in got:
+        assert abs(r["target"] - target[r["source"]]) < 1e-6 * max(1, target[r["source"]])
+        sums[r["source"]] += r["size"] * r["copies"]
+    assert len(got) == len(rows) and all(abs(sums[s] - target[s]) < 8 for s in target)
+    # the copies of equal rows are rounded one by one
+    assert len({r["copies"] for r in got if r["doc_id"] == -1}) <= 2
 
 
 def test_pivot_keeps_mass_and_expectation():
