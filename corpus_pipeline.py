@@ -9,7 +9,8 @@ Each stage works on all rows that its predecessor kept:
   with the smallest doc_id; documents without words are kept;
 * decontamination drops documents that hold a benchmark item;
 * mixing repeats or drops documents so that the sources meet their targets;
-* sharding adds the shard of each row.
+* sharding adds the shard of each row in a column ``shard``; a column of documents
+  called so is kept as ``input_shard``.
 """
 
 from __future__ import annotations
@@ -17,14 +18,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from spanwell.llm import decontam, mixing, neardup, sharding, toxicity
-from spanwell.llm.common import stored, table
+from spanwell.llm.common import scratch, stored, table
 
 SHARDS = 16
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, docs.columns).where("score < 0.5").select(*docs.columns)
+    return toxicity.accepted(docs, model)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +37,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed_documents(docs, docs.count())
+    return mixing.mixed_documents(docs)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,5 +59,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch() as kept:  # what a stage stored on its way goes when its rows are written
+            docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            kept.append(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
