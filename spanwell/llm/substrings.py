@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import Stored
+from .common import Stored, scratch
 
 LAST = 9223372036854775807
 
@@ -130,32 +130,30 @@ WINDOWS = "rank long, th long, at array<int>, hash array<long>, check array<long
 
 
 def _merge(length: int):
-    """(texts, starts of windows to remove) to (text kept, removed word ranges, sha)."""
+    """(texts, starts of windows to remove) to (text kept, removed word ranges, sha), a text at a time and a slice a batch."""
+    ranges = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offs = W.buffers(b.column("text"))
-            gone = b.column("bad")
-            out: dict[str, list] = {"n_removed": [], "removed": [], "kept_text": [], "sha": []}
-            for lo, hi, d, o, words in _runs(data, offs):
-                wo = words.rows
-                for i in range(hi - lo):
-                    n = int(wo[i + 1] - wo[i])
-                    edge = np.zeros(n + 1, np.int64)
-                    at = gone[lo + i].values.to_numpy(zero_copy_only=False)
+            for lo, hi in W.slices(offs):
+                out: dict[str, list] = {"n_removed": [], "removed": [], "kept_text": [], "sha": []}
+                for i in range(lo, hi):
+                    raw = data[offs[i] : offs[i + 1]].tobytes().split()
+                    at = b.column("bad")[i].values.to_numpy(zero_copy_only=False)
+                    edge = np.zeros(len(raw) + 1, np.int64)
                     np.add.at(edge, at, 1)
                     np.add.at(edge, at + length, -1)
-                    covered = np.cumsum(edge)[:n] > 0
+                    covered = np.cumsum(edge)[:-1] > 0
                     turn = np.flatnonzero(np.diff(np.concatenate(([False], covered, [False])).astype(np.int8)))
-                    out["removed"].append([{"start": int(x), "end": int(y)} for x, y in zip(turn[::2], turn[1::2], strict=True)])
-                    raw = d[o[i] : o[i + 1]].tobytes().split()
                     kept = b" ".join(raw[j] for j in np.flatnonzero(~covered))
+                    out["removed"].append([{"start": int(x), "end": int(y)} for x, y in zip(turn[::2], turn[1::2], strict=True)])
                     out["n_removed"].append(int(covered.sum()))
                     out["kept_text"].append(kept.decode("utf-8"))
                     out["sha"].append(hashlib.sha256(kept).hexdigest())
-            yield pa.RecordBatch.from_pydict(
-                {"node": b.column("node"), "n_removed": pa.array(out["n_removed"], pa.int64()), "removed": pa.array(out["removed"], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), "kept_text": pa.array(out["kept_text"], pa.string()), "kept_sha256": pa.array(out["sha"], pa.string())}
-            )
+                yield pa.RecordBatch.from_pydict(
+                    {"node": b.column("node").slice(lo, hi - lo), "n_removed": pa.array(out["n_removed"], pa.int64()), "removed": pa.array(out["removed"], ranges), "kept_text": pa.array(out["kept_text"], pa.string()), "kept_sha256": pa.array(out["sha"], pa.string())}
+                )
 
     return run
 
@@ -210,7 +208,9 @@ class SubstringDedup:
 
     def result(self) -> DataFrame:
         """(doc_id, n_words, n_removed, kept_sha256) for every row."""
-        cut = Stored(self.cleaned().select("node", "n_removed", F.col("kept_sha256").alias("cut_sha")), "sub-cut").df
+        with scratch() as kept:
+            cut = Stored(self.cleaned().select("node", "n_removed", F.col("kept_sha256").alias("cut_sha")), "sub-cut").df
+            kept.append(cut)
         rows = self.profile.select("doc_id", "node", "n_words", "sha").join(self.heads.select("node", "rank"), "node").join(cut, "node", "left")
         copy = (F.coalesce("doc_id", F.lit(LAST)) > F.col("rank")) & (F.col("n_words") >= self.length)
         none = hashlib.sha256(b"").hexdigest()

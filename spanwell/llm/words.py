@@ -40,7 +40,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a string array; nulls are empty."""
+    """(bytes, offsets) of a string array; nulls are empty.  Called once a batch, it hands back what earlier batches left unused."""
+    pa.default_memory_pool().release_unused()
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.cast(pa.large_string())
