@@ -168,9 +168,6 @@ class SubstringDedup:
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
         self.docs = self.docs.withColumn("th", F.xxhash64("text"))
         self.profile = Stored(self.docs.mapInArrow(_profile(length), "doc_id long, th long, node binary, n_words long, sha string, seeds array<long>"), "sub-profile").df
-        rank = F.coalesce("doc_id", F.lit(LAST))
-        # stored, so that the join with it is of two shuffles, and a text with many copies can be split
-        self.heads = Stored(self.profile.groupBy("node").agg(F.min(rank).alias("rank")), "sub-heads").df
 
     def _texts(self) -> DataFrame:
         """(rank, th, node, text, seeds) of one document of each content that holds a repeated seed; (rank, th) names it in two longs."""
@@ -211,7 +208,10 @@ class SubstringDedup:
         with scratch() as kept:
             cut = Stored(self.cleaned().select("node", "n_removed", F.col("kept_sha256").alias("cut_sha")), "sub-cut").df
             kept.append(cut)
-        rows = self.profile.select("doc_id", "node", "n_words", "sha").join(self.heads.select("node", "rank"), "node").join(cut, "node", "left")
+        first = self.profile.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(LAST))).alias("rank"))
+        # stored, so that one join of two shuffles is left, in which a text with many copies can be split
+        known = Stored(first.join(cut, "node", "left"), "sub-known").df
+        rows = self.profile.select("doc_id", "node", "n_words", "sha").join(known, "node")
         copy = (F.coalesce("doc_id", F.lit(LAST)) > F.col("rank")) & (F.col("n_words") >= self.length)
         none = hashlib.sha256(b"").hexdigest()
         return rows.select(
