@@ -49,9 +49,9 @@ ORACLE_SQL = {"op1_substring_dedup": OP1, "op2_minhash_dedup": OP2, "op3_chat_fo
 OP10 = """
 WITH v AS (
   SELECT vec_id AS id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
 ), s AS (
-  SELECT q.id AS query_id, c.id AS vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.id <> c.id WHERE q.id % 50 = 0
+  SELECT q.id AS query_id, c.id AS vec_id, list_inner_product(list_resize(q.v, greatest(1, len(q.v), len(c.v)), 0), list_resize(c.v, greatest(1, len(q.v), len(c.v)), 0))::BIGINT AS score FROM v q JOIN v c ON q.id <> c.id WHERE q.id % 50 = 0
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """

@@ -12,10 +12,11 @@ first, and stops where the bounds fall below it.  The bound rounds outwards, so
 the result is exact.
 
 Pivots come from a bounded sample (``SAMPLE`` vectors, lowest hashes); every row
-is indexed.  Vectors that are null, hold null or non-finite components, or lack
-the common dimension take no part.  Ties go to the smaller id.  Repeated ids are
-candidates of their own; a query skips every row with its own id.  An empty
-table gives no rows.
+is indexed.  Vectors that are null or hold null or non-finite components take no
+part; of two vectors of different lengths the shorter counts as zero beyond its
+end.  Ties go to the smaller id.  Repeated ids are candidates of their own; a
+query skips every row with its own id.  Queries of one id and different vectors
+are answered apart, equal ones once.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ def integer_vectors(df: DataFrame, key: str, vector: str, scale: float = 256.0)
     """(id, v): components floor(scale * x), x as double; rows that take no part are left out."""
     v = F.transform(F.col(vector), lambda x: F.floor(x.cast("double") * F.lit(scale)).cast("double"))
     ok = F.forall(F.col(vector), lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
-    return df.where(F.col(vector).isNotNull() & (F.size(F.col(vector)) > 0) & ok & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), v.alias("v"))
+    return df.where(F.col(vector).isNotNull() & ok & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), v.alias("v"))
 
 
 def choose_pivots(sample: np.ndarray, count: int, rounds: int = 4) -> np.ndarray:
@@ -55,17 +56,30 @@ def choose_pivots(sample: np.ndarray, count: int, rounds: int = 4) -> np.ndarray
     return pivots
 
 
+def _even(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both with as many columns as the wider has, zeros added."""
+    width = max(x.shape[1], y.shape[1])
+    return tuple(a if a.shape[1] == width else np.pad(a, ((0, 0), (0, width - a.shape[1]))) for a in (x, y))
+
+
 def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    x, pivots = _even(x, pivots)
     square = (x * x).sum(1)[:, None] + (pivots * pivots).sum(1)[None, :] - 2.0 * (x @ pivots.T)
     return np.sqrt(np.maximum(square, 0.0))
 
 
 def _matrix(v: pd.Series) -> np.ndarray:
-    return np.stack(v.to_numpy()).astype(float) if len(v) else np.zeros((0, 1))
+    rows = v.to_numpy()
+    width = max((len(r) for r in rows), default=0)
+    out = np.zeros((len(rows), max(width, 1)))
+    for i, r in enumerate(rows):
+        out[i, : len(r)] = r
+    return out
 
 
 def scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Inner products, exact: in floats while every sum stays below 2**53, in whole numbers beyond."""
+    q, x = _even(q, x)
     most = (np.abs(q).max() if q.size else 0.0) * (np.abs(x).max() if x.size else 0.0) * q.shape[1]
     if most < 2.0**53:
         return q @ x.T
@@ -84,13 +98,13 @@ def best(ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     return np.array(order[:k], dtype=int)
 
 
-def _top_rows(qids, q, cand_ids, x, k) -> list[tuple[int, int, int]]:
+def _top_rows(keys, qids, q, cand_ids, x, k) -> list[tuple[int, int, int, int]]:
     rows = []
     s = scores(q, x)
-    for n, qid in enumerate(qids):
+    for n, (key, qid) in enumerate(zip(keys, qids, strict=True)):
         other = np.flatnonzero(cand_ids != qid)
         pick = other[best(cand_ids[other], s[n][other], k)] if len(other) else []
-        rows += [(int(qid), int(cand_ids[i]), int(s[n][i])) for i in pick]
+        rows += [(int(key), int(qid), int(cand_ids[i]), int(s[n][i])) for i in pick]
     return rows
 
 
@@ -99,13 +113,10 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int
     spark = vectors.sparkSession
     vectors = Stored(vectors, "topk-vectors").df
     found = vectors.orderBy(F.xxhash64("v"), "id").limit(SAMPLE).collect()
-    sizes = [len(r["v"]) for r in found]
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     if not found:
         return empty
-    dim = max(set(sizes), key=lambda d: (sizes.count(d), d))
-    sample = np.array([r["v"] for r in found if len(r["v"]) == dim], dtype=float)
-    centres = choose_pivots(sample, pivots)
+    centres = choose_pivots(_matrix(pd.Series([r["v"] for r in found])), pivots)
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -114,11 +125,10 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int
                 continue
             d = _distances(m, centres)
             near = d.argmin(1)
-            yield pd.DataFrame({"id": b["id"], "v": list(m), "pivot": near.astype("int32"), "dist": d[np.arange(len(m)), near], "norm2": (m * m).sum(1)})
+            yield pd.DataFrame({"id": b["id"], "v": b["v"], "pivot": near.astype("int32"), "dist": d[np.arange(len(m)), near], "norm2": (m * m).sum(1)})
 
     schema = "id long, v array<double>, pivot int, dist double, norm2 double"
-    same = F.size("v") == dim
-    index = Stored(vectors.where(same).mapInPandas(keyed, schema), "topk-index").df
+    index = Stored(vectors.mapInPandas(keyed, schema), "topk-index").df
     # annuli: a cell is cut at quantiles of its distances; ties at one distance are cut again by hash
     cells = index.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("dist", F.array(*[F.lit(i / 64) for i in range(1, 64)]), F.lit(1000)).alias("cuts"))
     cells = cells.withColumn("rings", F.least(F.lit(64), F.ceil(F.col("n") / BLOCK)).cast("int"))
@@ -153,34 +163,34 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int
             n = np.minimum((sure < k + 1).sum(1) + 1, len(low))
             for i in range(len(m)):
                 go = order[i, : n[i]]
-                yield pd.DataFrame({"id": b["id"].iloc[i], "v": [m[i]] * len(go), "pivot": ring_pivot[go].astype("int32"), "ring": ring_no[go].astype("int32"), "parts": parts[go].astype("int32")})
+                yield pd.DataFrame({"q": b["q"].iloc[i], "id": b["id"].iloc[i], "v": [m[i]] * len(go), "pivot": ring_pivot[go].astype("int32"), "ring": ring_no[go].astype("int32"), "parts": parts[go].astype("int32")})
 
-    visit = "id long, v array<double>, pivot int, ring int, parts int"
+    visit = "q long, id long, v array<double>, pivot int, ring int, parts int"
 
     def dealt(visits: DataFrame) -> DataFrame:
         """Visits by block: each goes to every part of its annulus, and those of one block in groups of ``QUERIES`` on average."""
         v = visits.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
         load = v.groupBy("pivot", "ring", "part").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("loads"))
         v = v.join(load, ["pivot", "ring", "part"])
-        v = v.withColumn("load", F.pmod(F.xxhash64("id"), F.col("loads")).cast("int")).drop("loads")
+        v = v.withColumn("load", F.pmod(F.xxhash64("q"), F.col("loads")).cast("int")).drop("loads")
         held = blocks.select("id", "v", "pivot", "ring", "part").join(load, ["pivot", "ring", "part"])
         held = held.withColumn("load", F.explode(F.sequence(F.lit(0), F.col("loads") - 1))).drop("loads")
         keys = ["pivot", "ring", "part", "load"]
 
         def search(_: tuple, qs: pd.DataFrame, xs: pd.DataFrame) -> pd.DataFrame:
             if not len(qs) or not len(xs):
-                return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-            rows = _top_rows(qs["id"].to_numpy(), _matrix(qs["v"]), xs["id"].to_numpy(), _matrix(xs["v"]), k)
-            return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
+                return pd.DataFrame({"q": [], "query_id": [], "vec_id": [], "score": []}).astype("int64")
+            rows = _top_rows(qs["q"].to_numpy(), qs["id"].to_numpy(), _matrix(qs["v"]), xs["id"].to_numpy(), _matrix(xs["v"]), k)
+            return pd.DataFrame(rows, columns=["q", "query_id", "vec_id", "score"]).astype("int64")
 
-        return v.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score long")
+        return v.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(search, "q long, query_id long, vec_id long, score long")
 
-    queries = queries.where(same).select("id", "v").distinct()
+    queries = queries.select("id", "v").distinct().withColumn("q", F.xxhash64("id", "v"))
     first = Stored(queries.mapInPandas(first_visits, visit), "topk-first").df
     near = Stored(dealt(first), "topk-near").df
-    beat = near.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list("score"), asc=False), k, 1).alias("s")).select(F.col("query_id").alias("id"), F.try_element_at("s", F.lit(1)).alias("beat"))
-    seen = first.groupBy("id").agg(F.collect_set(F.struct("pivot", "ring")).alias("seen"))
-    todo = queries.join(beat, "id", "left").join(seen, "id", "left")
+    beat = near.groupBy("q").agg(F.slice(F.sort_array(F.collect_list("score"), asc=False), k, 1).alias("s")).select("q", F.try_element_at("s", F.lit(1)).alias("beat"))
+    seen = first.groupBy("q").agg(F.collect_set(F.struct("pivot", "ring")).alias("seen"))
+    todo = queries.join(beat, "q", "left").join(seen, "q", "left")
 
     def more_visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         place = {(int(p), int(r)): i for i, (p, r) in enumerate(zip(ring_pivot, ring_no, strict=True))}
@@ -197,13 +207,13 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int
                 go = np.flatnonzero(go)
                 if len(go):
                     go = go[np.argsort(-top[i, go], kind="stable")]
-                    yield pd.DataFrame({"id": b["id"].iloc[i], "v": [m[i]] * len(go), "pivot": ring_pivot[go].astype("int32"), "ring": ring_no[go].astype("int32"), "parts": parts[go].astype("int32")})
+                    yield pd.DataFrame({"q": b["q"].iloc[i], "id": b["id"].iloc[i], "v": [m[i]] * len(go), "pivot": ring_pivot[go].astype("int32"), "ring": ring_no[go].astype("int32"), "parts": parts[go].astype("int32")})
 
     rest = dealt(Stored(todo.mapInPandas(more_visits, visit), "topk-more").df)
 
     def ranked(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         pick = best(g["vec_id"].to_numpy(), g["score"].to_numpy(), k)
-        return pd.DataFrame({"query_id": key[0], "rank": np.arange(1, len(pick) + 1, dtype="int32"), "vec_id": g["vec_id"].to_numpy()[pick], "score": g["score"].to_numpy()[pick]})
+        return pd.DataFrame({"query_id": g["query_id"].iloc[0], "rank": np.arange(1, len(pick) + 1, dtype="int32"), "vec_id": g["vec_id"].to_numpy()[pick], "score": g["score"].to_numpy()[pick]})
 
     # at most k rows a query and annulus part
-    return near.unionByName(rest).groupBy("query_id").applyInPandas(ranked, "query_id long, rank int, vec_id long, score long")
+    return near.unionByName(rest).groupBy("q").applyInPandas(ranked, "query_id long, rank int, vec_id long, score long")

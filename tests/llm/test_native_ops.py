@@ -159,21 +159,20 @@ def test_top_k(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(topk, "QUERIES", 5)
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=8) / 3], 0) for i in range(600)]
-    rows += [(1000 + i, [0.25] * 8, 1) for i in range(150)] + [(50, [0.1] * 8, 0), (2000, None, 0), (2001, [0.1] * 7 + [None], 0), (2002, [float("nan")] + [0.1] * 7, 0), (2050, [float("inf")] * 8, 0), (None, [0.1] * 8, 1)]
+    rows += [(1000 + i, [0.25] * 8, 1) for i in range(150)] + [(50, [0.1] * 8, 0), (2000, None, 0), (2001, [0.1] * 7 + [None], 0), (2002, [float("nan")] + [0.1] * 7, 0), (2050, [float("inf")] * 8, 0), (None, [0.1] * 8, 1), (3000, [0.9, -0.4, 0.2], 1), (3001, [0.5] * 11, 1), (3050, [], 1)]
     d = write(spark, tmp_path, embeddings=(rows, "vec_id long, embedding array<float>, score int"))
     got = defaultdict(list)
     for r in QUERIES["op10_topk"](spark, d).collect():
         got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
-    whole = [(i, np.floor(256 * np.array(v, dtype=np.float32).astype(float))) for i, v, _ in rows if i is not None and v and None not in v and np.isfinite(v).all()]
+    whole = [(i, np.floor(256 * np.array(v, dtype=np.float32).astype(float))) for i, v, _ in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()]
+    dot = lambda a, b: int(sum(x * y for x, y in zip(a, b)))
     ids = {i for i, _ in whole if i % 50 == 0}
     assert set(got) == ids
     for q in ids:
         want = []
-        for i, v in whole:
-            if i != q:
-                want += [(-int(max(0, 0) + v @ u), i) for j, u in whole if j == q]
-        if sum(i == q for i, _ in whole) == 1:
-            want.sort()
-            assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(want[:5])]
+        for u in [u for j, u in whole if j == q]:
+            want += [(n + 1, i, -s) for n, (s, i) in enumerate(sorted((-dot(v, u), i) for i, v in whole if i != q)[:5])]
+        assert sorted(got[q]) == sorted(want)
+    assert len(got[50]) == 10
     empty = spark.createDataFrame([], "id long, v array<double>")
     assert topk.exact_top_k(empty, empty).count() == 0

@@ -289,3 +289,55 @@ def test_surrogates_stay_distinct(spark, monkeypatch):
     rows = [(i, f"at 9.8.7.{i}", "x") for i in range(30)]
     out = surrogates.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string, kind string"), "k").collect()
     assert len({r["text"] for r in out}) == 30
+
+
+def luhn(number):
+    return sum(q if k % 2 == 0 else 2 * q - 9 * (q > 4) for k, q in enumerate(int(c) for c in reversed(number))) % 10 == 0
+
+
+def iban_ok(iban):
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+
+
+def replaced(spark, texts):
+    rows = surrogates.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()
+    return {r["doc_id"]: (r["text"], r["n_entities"], r["kinds"]) for r in rows}
+
+
+def test_names_stay_one_person(spark):
+    got = replaced(spark, ["Mr. John Smith met Mr. Smith. Smith's dog left John; SMITH saw Smithson.", "Dr. Jane Roe and Jane Q. Roe", "My name is Anna Weber. Anna knows Weber.", "Mr. Smith", "Karl Braun <karl.braun@mail.example.com> wrote; Braun again", "Mrs. Alex Roe, Mr. Alex Roe"])
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) met Mr\. (\w+)\. (\w+)'s dog left (\w+); (\w+) saw Smithson\.", got[0][0])
+    given, family = m[1], m[2]
+    assert m.groups() == (given, family, family, family, given, family.upper()) and "Smith" not in got[0][0].replace("Smithson", "") and got[0][1:] == (5, "name")
+    assert got[3][0] == f"Mr. {family}" and given.endswith("n")
+    m = re.fullmatch(r"Dr\. (\w+) (\w+) and (\w+) Q\. (\w+)", got[1][0])
+    assert m[1] == m[3] and m[2] == m[4] and m[1].endswith("a")
+    m = re.fullmatch(r"My name is (\w+) (\w+)\. (\w+) knows (\w+)\.", got[2][0])
+    assert m[1] == m[3] and m[2] == m[4] and m[1].endswith("a") and m[1] != "Anna"
+    assert "Braun" not in got[4][0] and got[4][2] == "email,name"
+    roe = re.fullmatch(r"Dr\. \w+ (\w+) and .*", got[1][0])[1]
+    assert re.fullmatch(rf"Mrs\. \w+ {roe}, Mr\. \w+ {roe}", got[5][0])
+
+
+def test_numbers_and_addresses(spark):
+    phones = ["+44 20 7946 0958", "+34 912 345 678", "+33 1 23 45 67 89", "+49 30 901820", "784 555 8120", "+7 49 123 4567", "01 23 45 67 89", "030 901820", "+1 (784) 555-8120", "+1-784-555-8120"]
+    codes = ["44", "34", "33", "49", "", "7", "0", "0", "1", "1"]
+    good = ["4418 4525 2484 2581", "DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819", "123-45-6789", "2001:db8::ff00:42:8329", "2001:0DB8:0000:0000:0000:FF00:0042:8329", "10.20.30.254", "jörg.müller@mail.example.com", "josé@correo.es"]
+    plain = ["999.999.999.999", "4418 4525 2484 2582", "DE88370004405320130000", "000-12-3456", "build 1.2.3.4", "12:30:45", "version 10.0.0.1", "a@b", "1.2.3.4.5", "2024-01-31"]
+    texts = [f"call {p}, now" for p in phones] + [f"see {g} ok" for g in good] + [f"see {x} ok" for x in plain]
+    got = replaced(spark, texts)
+    shape = lambda t: re.sub(r"[^\W\d_]", "a", re.sub(r"\d", "9", t))
+    for i, (p, code) in enumerate(zip(phones, codes)):
+        t = got[i][0]
+        assert t != texts[i] and shape(t) == shape(texts[i]) and re.sub(r"\D", "", t).startswith(code) and got[i][2] == "phone"
+    assert re.sub(r"\D", "", got[8][0]) == re.sub(r"\D", "", got[9][0]) == "1" + re.sub(r"\D", "", got[4][0])
+    at = len(phones)
+    for i, g in enumerate(good):
+        t = got[at + i][0][4:-3]
+        assert t != g and g not in got[at + i][0] and got[at + i][1] == 1
+    compact = [got[at + i][0][4:-3].replace(" ", "") for i in range(len(good))]
+    assert luhn(compact[0]) and compact[0][0] == "4" and iban_ok(compact[1]) and compact[1][:2] == "DE" and iban_ok(compact[2]) and compact[2][:2] == "GB"
+    assert shape(compact[3]) == "999-99-9999" and len(compact[4]) == len(good[4]) and compact[5] == compact[5].upper()
+    assert all(0 < int(x) < 224 for x in compact[6].split(".")) and compact[7].endswith(".com") and compact[8].endswith(".es")
+    for i, x in enumerate(plain):
+        assert got[at + len(good) + i] == (texts[at + len(good) + i], 0, "")
