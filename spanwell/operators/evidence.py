@@ -73,25 +73,6 @@ def contiguous_growth(d) -> str:
     SELECT a.video_id, a.frame_id AS anchor, count(*) AS n, round(min(b.timestamp_s), 6) AS start_s, round(max(b.timestamp_s), 6) AS end_s FROM r a JOIN r b ON b.video_id = a.video_id AND b.run = a.run WHERE a.rk = 1 GROUP BY a.video_id, a.frame_id"""
 
 
-def utility_scores(d) -> str:
-    """MTH-11, MTH-13: utility of true spans from novelty, boundary and inverse density."""
-    return f"""WITH n AS (SELECT a.video_id, a.query_id, a.start_s, a.end_s, a.duration_s, count(b.query_id) AS others FROM {d.truth} a LEFT JOIN {d.truth} b ON a.video_id = b.video_id AND a.query_id <> b.query_id AND b.start_s <= a.end_s AND b.end_s >= a.start_s GROUP BY a.video_id, a.query_id, a.start_s, a.end_s, a.duration_s)
-    SELECT query_id, round(4e-1 / (1e0 + others) + 4e-1 * (end_s - start_s) / duration_s + 2e-1 * CASE WHEN end_s >= duration_s - {DAY} THEN 1e0 ELSE 5e-1 END, 6) AS utility FROM n"""
-
-
-def merge_candidates(d) -> str:
-    """WIN-18, MTH-12: neighbouring spans with their merge score, the best first."""
-    w = "OVER (PARTITION BY video_id ORDER BY start_s, end_s, query_id)"
-    return f"""WITH p AS (SELECT video_id, query_id AS lhs, lead(query_id) {w} AS rhs, lead(start_s) {w} - end_s AS gap, duration_s FROM {d.truth})
-    SELECT video_id, lhs, rhs, round(1e0 - greatest(0e0, gap) / duration_s, 6) AS score, {d.rn('PARTITION BY video_id ORDER BY gap, lhs')} AS place FROM p WHERE rhs IS NOT NULL"""
-
-
-def parent_cards(d) -> str:
-    """MEM-11, MTH-27, MTH-28: cards pooled by day with weights of duration and support."""
-    return f"""WITH s AS (SELECT video_id, {d.floor(f'start_s / {DAY}')} AS day, start_s, end_s, greatest(end_s - start_s, 1e-3) AS w FROM {d.truth})
-    SELECT video_id, day, count(*) AS children, round(min(start_s), 6) AS start_s, round(max(end_s), 6) AS end_s, round(sum(w * (start_s + end_s) / 2e0) / sum(w), 4) AS centre FROM s GROUP BY video_id, day"""
-
-
 def evidence_cards(d) -> str:
     """MEM-20, MEM-21, STR-06, TIM-07: one leaf card for each event with a stable id and the uncertainty of its ends."""
     w = "OVER (PARTITION BY video_id ORDER BY timestamp_s, frame_id)"
@@ -107,11 +88,6 @@ def evidence_thirds(d) -> str:
     SELECT video_id, frame_id, CASE WHEN i = 1 THEN 'first' WHEN i = n THEN 'last' ELSE 'middle' END AS place FROM e WHERE i = 1 OR i = n OR i = {d.floor('(n + 1) / 2e0')}"""
 
 
-def token_accounting(d) -> str:
-    """MTH-25, AGG-31: patches and tokens of frames by phase."""
-    return f"SELECT phase, component, CAST(sum({d.ceil('wall_s * 28e0 / 28e0')} * {d.ceil('(wall_s + 1e0) / 2e0')}) AS BIGINT) AS patches, count(*) AS calls, max(peak_bytes) AS peak FROM {d.costs} GROUP BY phase, component"
-
-
 def tolerance_parity(d) -> str:
     """CTL-08, MTH-30: spans of two methods that are equal within a relative and an absolute tolerance."""
     return f"""SELECT a.method AS method_a, b.method AS method_b, count(*) AS pairs, count(CASE WHEN abs(a.width - b.width) <= greatest(1e-5, 1e-6 * abs(b.width)) THEN 1 END) AS equal FROM (SELECT DISTINCT method, query_id, video_id, round(pred_end - pred_start, 6) AS width FROM {d.evals}) a JOIN (SELECT DISTINCT method, query_id, video_id, round(pred_end - pred_start, 6) AS width FROM {d.evals}) b ON a.video_id = b.video_id AND a.method < b.method GROUP BY a.method, b.method"""
@@ -122,4 +98,4 @@ def keyword_backend(d) -> str:
     return f"SELECT conv_id, turn, CASE WHEN {d.matches('lower(text)', d.pattern('(^|[^a-z])(the|and)([^a-z]|$)'))} THEN 'en' WHEN {d.matches('lower(text)', d.pattern('(^|[^a-z])(der|die|und)([^a-z]|$)'))} THEN 'de' WHEN {d.matches('lower(text)', d.pattern('(^|[^a-z])(le|la|les)([^a-z]|$)'))} THEN 'fr' ELSE 'other' END AS answer FROM {d.conversations} WHERE role = 'user'"
 
 
-PLANS = {f.__name__: f for f in (span_parse, prompt_render, reservoir_coverage, grid_plan, oracle_positions, boundary_allocation, frame_layout, contiguous_growth, utility_scores, merge_candidates, parent_cards, evidence_cards, evidence_thirds, token_accounting, tolerance_parity, keyword_backend)}
+PLANS = {f.__name__: f for f in (span_parse, prompt_render, reservoir_coverage, grid_plan, oracle_positions, boundary_allocation, frame_layout, contiguous_growth, evidence_cards, evidence_thirds, tolerance_parity, keyword_backend)}

@@ -50,8 +50,11 @@ def three_way_join(d) -> str:
 
 
 def forest_roots(d) -> str:
-    """JOIN-19, MEM-17: nodes that are nobody's child; node n > 0 has parent floor((n - 1) / 3) within its region."""
-    return f"WITH e AS (SELECT n_nationkey AS id, n_regionkey AS tree FROM {d.nation}), c AS (SELECT b.id AS child FROM e a JOIN e b ON a.tree = b.tree AND a.id < b.id) SELECT e.id, e.tree FROM e LEFT JOIN (SELECT DISTINCT child FROM c) k ON k.child = e.id WHERE k.child IS NULL"
+    """JOIN-19, MEM-17: cards that no card of their tree has as a child; card n > 0 of a tree, numbered from 0, is a child of floor((n - 1) / 3), but where a merge was undone (n % 7 = 3)."""
+    parent = d.floor("(i - 1) / 3e0")
+    return f"""WITH e AS (SELECT n_nationkey AS id, n_regionkey AS tree, {d.rn("PARTITION BY n_regionkey ORDER BY n_nationkey")} - 1 AS i FROM {d.nation}),
+    c AS (SELECT tree, {parent} AS parent, i AS child FROM e WHERE i > 0 AND i % 7 <> 3)
+    SELECT e.id, e.tree FROM e LEFT JOIN (SELECT DISTINCT c.tree, c.child FROM c JOIN e p ON p.tree = c.tree AND p.i = c.parent) k ON k.tree = e.tree AND k.child = e.i WHERE k.child IS NULL"""
 
 
 def hierarchy_closure(d) -> str:
@@ -72,11 +75,6 @@ def interval_containment(d) -> str:
     SELECT cell.video_id, cell.query_id, count(*) AS n, round(avg(f.value), 6) AS mean FROM cell JOIN f ON f.video_id = cell.video_id AND f.cell = cell.cell AND f.timestamp_s BETWEEN cell.start_s AND cell.end_s GROUP BY cell.video_id, cell.query_id"""
 
 
-def interval_overlap_count(d) -> str:
-    """JOIN-13: other true spans of the video that overlap each span."""
-    return f"SELECT a.video_id, a.query_id, count(b.query_id) AS n FROM {d.truth} a LEFT JOIN {d.truth} b ON a.video_id = b.video_id AND a.query_id <> b.query_id AND b.start_s <= a.end_s AND b.end_s >= a.start_s GROUP BY a.video_id, a.query_id"
-
-
 def cross_video_negatives(d) -> str:
     """JOIN-21: for each query the first query of the next run of another video, round and round; none only if there is one video.
 
@@ -185,4 +183,4 @@ def session_windows(d) -> str:
     SELECT user_id, CAST(s AS BIGINT) AS session, count(*) AS n FROM g GROUP BY user_id, s"""
 
 
-PLANS = {f.__name__: f for f in (content_dedup, bytes_by_owner, identity_exclusions, disjointness_audit, fd_violations, duplicate_keys, set_difference, three_way_join, forest_roots, hierarchy_closure, interval_containment, interval_overlap_count, cross_video_negatives, normalized_text, lexical_locate, rank_cards, token_jaccard, summary_join, weighted_mode, group_identity, writer_parse_status, json_projection, latest_document, event_tail, monotonicity, snapshot_fingerprint, evidence_authorization, session_windows)}
+PLANS = {f.__name__: f for f in (content_dedup, bytes_by_owner, identity_exclusions, disjointness_audit, fd_violations, duplicate_keys, set_difference, three_way_join, forest_roots, hierarchy_closure, interval_containment, cross_video_negatives, normalized_text, lexical_locate, rank_cards, token_jaccard, summary_join, weighted_mode, group_identity, writer_parse_status, json_projection, latest_document, event_tail, monotonicity, snapshot_fingerprint, evidence_authorization, session_windows)}

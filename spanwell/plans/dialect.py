@@ -120,6 +120,31 @@ class SparkDialect(_Dialect):
         return f"array_intersect({a}, {b})"
 
 
+    def dot(self, a, b):
+        return f"aggregate(zip_with({a}, {b}, (x, y) -> CAST(x AS DOUBLE) * CAST(y AS DOUBLE)), 0e0, (s, x) -> s + x)"
+
+    def at(self, x, i):
+        return f"CAST({x}[{i}] AS DOUBLE)"
+
+    def two_places(self, x):
+        return f"format_string('%.2f', {x})"
+
+    def sorted_list(self, key, x):
+        return f"transform(array_sort(collect_list(struct({key} AS k, {x} AS x))), s -> s.x)"
+
+    def repeat_list(self, x, n):
+        return f"array_repeat({x}, CAST({n} AS INT))"
+
+    def joined(self, x):
+        return f"array_join({x}, ',')"
+
+    def as_text(self, x):
+        return f"transform({x}, v -> CAST(v AS STRING))"
+
+    def string(self, x):
+        return f"CAST({x} AS STRING)"
+
+
 class DuckDialect(_Dialect):
     all_flag = ", 'g'"
     brace = "}"
@@ -188,6 +213,31 @@ class DuckDialect(_Dialect):
         return f"list_intersect({a}, {b})"
 
 
+    def dot(self, a, b):
+        return f"list_inner_product({a}::DOUBLE[], {b}::DOUBLE[])"
+
+    def at(self, x, i):
+        return f"CAST({x}[{i + 1}] AS DOUBLE)"
+
+    def two_places(self, x):
+        return f"printf('%.2f', {x})"
+
+    def sorted_list(self, key, x):
+        return f"list({x} ORDER BY {key}, {x})"
+
+    def repeat_list(self, x, n):
+        return f"list_transform(range({n}), lambda _i: {x})"
+
+    def joined(self, x):
+        return f"array_to_string({x}, ',')"
+
+    def as_text(self, x):
+        return f"list_transform({x}, lambda v: CAST(v AS VARCHAR))"
+
+    def string(self, x):
+        return f"CAST({x} AS VARCHAR)"
+
+
 def expand_rounds(text: str) -> str:
     """``round(x, n)`` in the same double arithmetic on both engines, which round halves of doubles differently."""
     while m := re.search(r"(?<![a-z_])round\(", text):
@@ -218,6 +268,13 @@ def query(plan: Plan) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def on(spark: SparkSession, plan: Plan, tables: dict[str, DataFrame]) -> DataFrame:
+    """``plan`` over given tables instead of those of a folder."""
+    d = SparkDialect()
+    text = expand_rounds(plan(d))
+    return spark.sql(text, **{n: tables[n] for n in d.used})
+
+
 def oracle(plan: Plan) -> str:
     return expand_rounds(_oracle(plan))
 

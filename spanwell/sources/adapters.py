@@ -6,6 +6,7 @@
 ``arrivals`` truth at four arrival ratios
 ``evals``    order lines as span predictions for the shipping span of their order
 ``costs``    order lines as resource records
+``cards``    truth as evidence cards with vectors
 """
 
 from __future__ import annotations
@@ -114,6 +115,20 @@ def costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Truth as evidence cards, in days: span, uncertainty of its ends, cached boundary hits, support, phase, scene, raw frame, vector."""
+    t = truth(spark, sf_dir)
+    v = vector_frames(spark, sf_dir).select(F.col("frame_id").alias("card_id"), "embedding", "q_emb")
+    k = F.col("query_id")
+    rest = lambda n: F.pmod(k, F.lit(n))
+    t = t.select(
+        "video_id", k.alias("card_id"), (F.col("start_s") / 86400.0).alias("t_start"), (F.col("end_s") / 86400.0).alias("t_end"), (F.col("duration_s") / 86400.0).alias("duration"),
+        rest(5).cast("long").alias("supports"), (rest(7) / 10.0).alias("left_u"), (rest(4) / 10.0).alias("right_u"), (rest(2) == 0).alias("left_hit"), (rest(3) == 0).alias("right_hit"),
+        F.when(rest(4) == 0, "partial").otherwise("complete").alias("phase"), F.when(rest(3) == 0, "kitchen").when(rest(3) == 1, "street").otherwise("office").alias("scene"), (rest(3) != 1).alias("raw"),
+    )
+    return t.join(v, "card_id")
+
+
 #: The same tables in DuckDB, as common table expressions.
 SQL = {
     "frames": """frames AS (
@@ -142,9 +157,13 @@ SQL = {
     "costs": """costs AS (
   SELECT l_suppkey AS video_id, CASE WHEN l_linestatus = 'O' THEN 'ingest' ELSE 'query' END AS phase, l_returnflag AS component, l_orderkey AS query_id, l_linenumber::BIGINT AS seq,
          l_quantity AS wall_s, l_discount AS cpu_s, l_tax AS cuda_s, l_linenumber = 1 AS cold, l_extendedprice AS peak_bytes FROM lineitem)""",
+    "cards": """cards AS (
+  SELECT t.video_id, t.query_id AS card_id, t.start_s / 86400e0 AS t_start, t.end_s / 86400e0 AS t_end, t.duration_s / 86400e0 AS duration, t.query_id % 5 AS supports, (t.query_id % 7) / 1e1 AS left_u, (t.query_id % 4) / 1e1 AS right_u,
+         t.query_id % 2 = 0 AS left_hit, t.query_id % 3 = 0 AS right_hit, CASE WHEN t.query_id % 4 = 0 THEN 'partial' ELSE 'complete' END AS phase, CASE t.query_id % 3 WHEN 0 THEN 'kitchen' WHEN 1 THEN 'street' ELSE 'office' END AS scene, t.query_id % 3 <> 1 AS raw, v.embedding, v.q_emb
+  FROM truth t JOIN vector_frames v ON v.frame_id = t.query_id)""",
 }
-NEEDS = {"vector_frames": ["frames"], "scored": ["vector_frames"], "truth": ["frames"], "arrivals": ["truth"]}
-BUILD = {"frames": frames, "vector_frames": vector_frames, "scored": scored, "truth": truth, "arrivals": arrivals, "evals": evals, "costs": costs}
+NEEDS = {"cards": ["truth", "vector_frames"], "vector_frames": ["frames"], "scored": ["vector_frames"], "truth": ["frames"], "arrivals": ["truth"]}
+BUILD = {"frames": frames, "vector_frames": vector_frames, "scored": scored, "truth": truth, "arrivals": arrivals, "evals": evals, "costs": costs, "cards": cards}
 
 
 def ctes(names: list[str]) -> list[str]:
