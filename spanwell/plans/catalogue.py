@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from ..operators import cards, evaluation, evidence, features, folds, integrity, selection
+from ..operators import cards, checks, evaluation, evidence, features, folds, integrity, selection, training
 from ..sources import adapters
 from ..streaming import windows
 from . import oracles
 from .dialect import oracle, query
 
-_PLANS = {**selection.PLANS, **evaluation.PLANS, **integrity.PLANS, **evidence.PLANS, **cards.PLANS}
+_PLANS = {**selection.PLANS, **evaluation.PLANS, **integrity.PLANS, **evidence.PLANS, **cards.PLANS, **checks.PLANS, **training.PLANS}
 
 QUERIES = {name: query(plan) for name, plan in _PLANS.items()}
 ORACLE_SQL = {name: oracle(plan) for name, plan in _PLANS.items()}
