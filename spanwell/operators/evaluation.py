@@ -6,6 +6,8 @@ WIN-12, 13, 15, 16; TOP-04; MTH-01, 02, 07, 08, 10, 15, 16, 22, 23, 24; CTL-01,
 
 from __future__ import annotations
 
+import math
+
 
 def _rows(d) -> str:
     """Predictions with their overlap; invalid statuses null the span (PRJ-06)."""
@@ -113,14 +115,31 @@ def video_equal_delta(d) -> str:
     return f"WITH {_paired(d)}, v AS (SELECT video_id, avg(delta) AS m FROM paired GROUP BY video_id) SELECT count(*) AS videos, round(avg(m), 6) AS delta FROM v"
 
 
+#: Prime modulus of the bootstrap's hashes, and the share of a Poisson variable of mean 1 at or below 0, 1, 2, ...
+_PRIME = 2147483647
+_POISSON = tuple(int(_PRIME * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(8))
+
+
+def bootstrap_weight(video: str, replicate: str) -> tuple[str, str, str]:
+    """Three steps (a, x, y) whose last is a number below the prime that video and replicate fix: squares modulo a prime, in whole numbers that fit 63 bits."""
+    a = f"(({video} % {_PRIME}) * 48271 + 11) % {_PRIME}"
+    x = f"((a + {replicate} * 40692) % {_PRIME})"
+    return a, f"({x} * {x} + a) % {_PRIME}", f"((x * x + {replicate} * 69621) % {_PRIME})"
+
+
 def hash_bootstrap_ci(d, replicates: int = 10_000) -> str:
-    """AGG-13..15: percentile interval of resampled video means; draw r, i is a hash modulo the number of videos."""
-    return f"""WITH {_paired(d)}, vm AS (SELECT video_id, avg(delta) AS m FROM paired GROUP BY video_id), {d.numbered("vn", "vm", d.floor("s.video_id / 4096e0"), "r.video_id")},
-    v AS (SELECT i - 1 AS i, m, n FROM vn),
-    reps AS (SELECT CAST(r AS BIGINT) AS r FROM (SELECT 1 AS one) o {d.unnest(d.seq(1, replicates), 'r')}),
-    slots AS (SELECT /*+ REPARTITION(64) */ i, n FROM v),
-    draws AS (SELECT reps.r, {d.hash_int("CAST(reps.r AS VARCHAR(20)) || ':' || CAST(slots.i AS VARCHAR(20))")} % slots.n AS pick FROM reps CROSS JOIN slots),
-    means AS (SELECT draws.r, avg(v.m) AS m FROM draws JOIN v ON v.i = draws.pick GROUP BY draws.r)
+    """AGG-13..15: percentile interval of resampled video means.
+
+    How often a replicate takes a video is a Poisson draw of mean 1 that a hash of
+    both fixes, so one pass over the videos serves all replicates and only sums by
+    replicate are shuffled.
+    """
+    a, x, y = bootstrap_weight("video_id", "r")
+    times = " + ".join(f"CASE WHEN z < {t} THEN 0 ELSE 1 END" for t in _POISSON)
+    return f"""WITH {_paired(d)}, v AS (SELECT /*+ REPARTITION(64) */ video_id, m, {a} AS a FROM (SELECT video_id, avg(delta) AS m FROM paired GROUP BY video_id) g),
+    e AS (SELECT video_id, m, a, CAST(r AS BIGINT) AS r FROM v {d.unnest(d.seq(1, replicates), 'r')}),
+    f AS (SELECT r, m, {x} AS x FROM e), h AS (SELECT r, m, {y} AS y FROM f), i AS (SELECT r, m, (y * y + 1013904223) % {_PRIME} AS z FROM h),
+    w AS (SELECT r, m, {times} AS k FROM i), means AS (SELECT r, sum(k * m) / nullif(sum(k), 0) AS m FROM w GROUP BY r)
     SELECT count(*) AS n, round({d.pct('m', '0.025')}, 5) AS low, round({d.pct('m', '0.975')}, 5) AS high FROM means"""
 
 

@@ -1,6 +1,6 @@
 """Feature operators in the DataFrame API: cell tokens, change features, quantised vectors, ridge regression by normal equations.
 
-Ids of the inventory: AGG-35, 41, 42; WIN-07, 08; MTH-03, 06, 17..19; SRC-11, 12; ML-01, 02, 08, 09.
+Every function names the ids of the inventory that it covers.
 """
 
 from __future__ import annotations
@@ -19,10 +19,15 @@ def _r(x, n: int = 6):
 
 
 def cell_tokens(frames: DataFrame, width: float = DAY) -> DataFrame:
-    """AGG-35: the mean vector of each occupied cell, element by element, as an array in index order."""
-    cells = frames.select("video_id", F.floor((F.col("timestamp_s") + 1e-9) / width).alias("cell"), F.posexplode("embedding").alias("i", "x"))
-    means = cells.groupBy("video_id", "cell", "i").agg(F.avg(F.col("x").cast("double")).alias("m"), F.count(F.lit(1)).alias("n"))
-    return means.groupBy("video_id", "cell").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("mean"), F.max("n").alias("n"))
+    """AGG-35: the mean vector of each occupied cell: one average a component in one grouping, so only cells are shuffled, not components.
+
+    Vectors are as wide as the first one; shorter ones lack the rest, which their averages skip.
+    """
+    first = frames.select(F.size("embedding").alias("n")).where("n > 0").first()
+    cells = frames.groupBy("video_id", F.floor((F.col("timestamp_s") + 1e-9) / width).alias("cell"))
+    parts = [F.avg(F.get("embedding", F.lit(i)).cast("double")).alias(f"m{i}") for i in range(first["n"] if first else 1)]
+    means = cells.agg(*parts, F.count(F.lit(1)).alias("n"))
+    return means.select("video_id", "cell", F.array(*[F.col(f"m{i}") for i in range(len(parts))]).alias("mean"), "n")
 
 
 def cell_summary(frames: DataFrame) -> DataFrame:
@@ -55,7 +60,7 @@ def quantized(embeddings: DataFrame) -> DataFrame:
 
 
 def ridge_fit(rows: DataFrame, features: list[str], target: str, alpha: float = 1.0, weight: str | None = None) -> np.ndarray:
-    """AGG-41, AGG-42: intercept and slopes on standardised features from one pass of sums; only (f + 2)**2 numbers reach the driver."""
+    """AGG-41, AGG-42, ML-01: intercept and slopes on standardised features from one pass of sums; only (f + 2)**2 numbers reach the driver."""
     w = F.col(weight) if weight else F.lit(1.0)
     cols = [F.lit(1.0), *[F.col(f).cast("double") for f in features], F.col(target).cast("double")]
     sums = rows.agg(*[F.sum(w * a * b).alias(f"s{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if i <= j]).first()

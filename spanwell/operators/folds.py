@@ -6,8 +6,7 @@ order.  :func:`run_fold` applies it in batch, one stream a group, and
 both give the same rows.  State is bounded by the parameters of the fold, never
 by the length of the stream.
 
-Ids of the inventory: WIN-09, WIN-11; TIM-04; STM-02, 05..08, 10, 12..17; TOP-10..12, 20..22, 33; MEM-06, 07, 10, 12, 14, 15;
-MTH-05, 24, 27, 28; AGG-36; JOIN-14.
+Every class and function names the ids of the inventory that it covers.
 """
 
 from __future__ import annotations
@@ -157,55 +156,54 @@ class SemanticReservoir:
 
 
 class EventMemory:
-    """MEM-10, WIN-11, AGG-36, STM-13: events grow while frames stay alike and near; full levels merge their oldest pair upwards.
+    """MEM-10, WIN-11, AGG-36, STM-13: a hierarchy of events: frames join the open event while alike and near, closed events age upwards.
 
-    Support counts are conserved: the events of a stream always add up to its frames.
+    Every level is a queue with a capacity; the bottom one counts the open event.
+    An event that finds its queue full sends the two oldest there up as one, like
+    the carry of a counter; at the top the pair goes back to the front instead.
+    So supports always add up to the frames seen.  An event is
+    [support, direction, start, end, first frame, last frame].
     """
 
     schema = "video_id long, level int, event int, start_s double, end_s double, support long, first_frame long, last_frame long"
 
     def __init__(self, caps: tuple[int, ...] = (8, 4, 2), alike: float = 0.1, span: float = 172800.0):
+        self.rooms = (caps[0] - 1, *caps[1:])
         self.caps, self.alike, self.span = caps, alike, span
 
     def start(self) -> dict:
-        return {"open": None, "levels": [[] for _ in self.caps]}
+        return {"video_id": None, "open": [], "levels": [[] for _ in self.caps]}
 
     @staticmethod
-    def merge(a: dict, b: dict) -> dict:
-        n = a["n"] + b["n"]
-        v = _unit((np.asarray(a["v"]) * a["n"] + np.asarray(b["v"]) * b["n"]) / n)
-        return {"video_id": a["video_id"], "v": v.tolist(), "n": n, "t0": a["t0"], "t1": b["t1"], "first": a["first"], "last": b["last"]}
-
-    def _promote(self, s: dict) -> None:
-        for i, cap in enumerate(self.caps):
-            room = cap - (1 if i == 0 else 0)  # level 0 keeps a place for the open event
-            while len(s["levels"][i]) > room:
-                pair = self.merge(s["levels"][i].pop(0), s["levels"][i].pop(0))
-                if i + 1 < len(self.caps):
-                    s["levels"][i + 1].append(pair)
-                else:
-                    s["levels"][i].insert(0, pair)
+    def fuse(a: list, b: list) -> list:
+        """Two events in order as one; its direction is the mean of theirs by support, of length one."""
+        return [a[0] + b[0], _unit(a[0] * np.asarray(a[1]) + b[0] * np.asarray(b[1])), a[2], b[3], a[4], b[5]]
+
+    def carry(self, levels: list[list], event: list) -> None:
+        for queue, room in zip(levels, self.rooms, strict=True):
+            queue.append(event)
+            if len(queue) <= room:
+                return
+            event = self.fuse(queue[0], queue[1])
+            del queue[:2]
+        levels[-1].insert(0, event)
 
     def step(self, s: dict, r: dict) -> list[dict]:
-        v = _unit(r["embedding"])
-        item = {"video_id": r["video_id"], "v": v.tolist(), "n": 1, "t0": r["timestamp_s"], "t1": r["timestamp_s"], "first": r["frame_id"], "last": r["frame_id"]}
-        o = s["open"]
-        if o is not None and float(np.asarray(o["v"]) @ v) >= self.alike and r["timestamp_s"] - o["t0"] <= self.span:
-            s["open"] = self.merge(o, item)
-            return []
-        if o is not None:
-            s["levels"][0].append(o)
-            self._promote(s)
-        s["open"] = item
+        t, now = r["timestamp_s"], [1, _unit(r["embedding"]), r["timestamp_s"], r["timestamp_s"], r["frame_id"], r["frame_id"]]
+        s["video_id"] = r["video_id"]
+        if s["open"]:
+            held = s["open"]
+            if t - held[2] <= self.span and float(np.dot(held[1], now[1])) >= self.alike:
+                now = self.fuse(held, now)
+            else:
+                self.carry(s["levels"], held)
+        s["open"] = now
         return []
 
     def finish(self, s: dict) -> list[dict]:
-        rows = [(i, e) for i, level in enumerate(s["levels"]) for e in level] + ([(0, s["open"])] if s["open"] else [])
-        rows.sort(key=lambda x: x[1]["t0"])
-        return [
-            {"video_id": e["video_id"], "level": i, "event": k, "start_s": e["t0"], "end_s": e["t1"], "support": e["n"], "first_frame": e["first"], "last_frame": e["last"]}
-            for k, (i, e) in enumerate(rows)
-        ]
+        found = [(e, i) for i, queue in enumerate(s["levels"]) for e in queue] + ([(s["open"], 0)] if s["open"] else [])
+        names = ("support", "", "start_s", "end_s", "first_frame", "last_frame")
+        return [{"video_id": s["video_id"], "level": i, "event": k} | {n: x for n, x in zip(names, e, strict=True) if n} for k, (e, i) in enumerate(sorted(found, key=lambda x: x[0][2]))]
 
 
 class NearFarPool:
@@ -361,7 +359,7 @@ def mmr_select(frames: DataFrame, k: int = 5, like: float = 0.5, near: float = 0
             i = min(left, key=lambda i: (-round(gains[i], 12), g["frame_id"][i]))
             picked.append(i)
             left.remove(i)
-            out.append({"video_id": g["video_id"][i], "place": len(picked), "frame_id": g["frame_id"][i], "gain": round(float(gains[i]), 6)})
+            out.append({"video_id": g["video_id"][i], "place": len(picked), "frame_id": g["frame_id"][i], "gain": math.floor(float(gains[i]) * 1e6 + 0.5) / 1e6})
         return frame_of(out, schema)
 
     return frames.groupBy("video_id").applyInPandas(apply, schema)

@@ -109,3 +109,61 @@ SELECT 'intercept' AS term, round(my - b1 * m1 - b2 * m2, 6) AS beta FROM t UNIO
     "native_sessions": """SELECT user_id, n, count(*) AS sessions FROM (SELECT user_id, s, count(*) AS n FROM (SELECT user_id, sum(f) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (
   SELECT user_id, ts, event_id, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) < 3600000000 THEN 0 ELSE 1 END AS f FROM events)) GROUP BY ALL) GROUP BY ALL""",
 }
+
+_LAST = "FROM run r JOIN (SELECT video_id, max(i) AS i FROM run GROUP BY video_id) m ON m.video_id = r.video_id AND m.i = r.i"
+
+ORACLE_SQL["adjacent_forest"] = _with(
+    ["frames"],
+    _SEQ
+    + """ run AS (
+  SELECT video_id, i, [{'a': timestamp_s, 'b': timestamp_s, 'n': 1::BIGINT, 'd': 0}] AS g FROM seq WHERE i = 1
+  UNION ALL
+  SELECT video_id, i, CASE WHEN len(g) > 8 THEN list_concat(list_append(g[:pl - 1], {'a': g[pl].a, 'b': g[pl + 1].b, 'n': g[pl].n + g[pl + 1].n, 'd': greatest(g[pl].d, g[pl + 1].d) + 1}), g[pl + 2:]) ELSE g END FROM (
+    SELECT *, list_position(w, list_min(w)) AS pl FROM (SELECT *, list_transform(range(1, len(g)), lambda k: g[k + 1].b - g[k].a) AS w FROM (
+      SELECT r.video_id, s.i, list_append(r.g, {'a': s.timestamp_s, 'b': s.timestamp_s, 'n': 1::BIGINT, 'd': 0}) AS g FROM run r JOIN seq s ON s.video_id = r.video_id AND s.i = r.i + 1))))
+SELECT video_id, (k - 1)::INTEGER AS root, g[k].a AS start_s, g[k].b AS end_s, g[k].n AS leaves, g[k].d AS depth FROM (SELECT r.video_id, r.g, unnest(range(1, len(r.g) + 1)) AS k """
+    + _LAST
+    + ")",
+    True,
+)
+ORACLE_SQL["near_far_pool"] = _with(
+    ["frames"],
+    _SEQ
+    + """ run AS (
+  SELECT video_id, i, [{'a': timestamp_s, 'b': timestamp_s, 'n': 1::BIGINT}] AS near, []::STRUCT(a DOUBLE, b DOUBLE, n BIGINT)[] AS far FROM seq WHERE i = 1
+  UNION ALL
+  SELECT video_id, i, near, CASE WHEN len(far) > 12 THEN list_concat(list_append(far[:pl - 1], {'a': far[pl].a, 'b': far[pl + 1].b, 'n': far[pl].n + far[pl + 1].n}), far[pl + 2:]) ELSE far END FROM (
+    SELECT *, coalesce(list_position(list_transform(w, lambda x: x <= 43200e0), TRUE), list_position(w, list_min(w))) AS pl FROM (SELECT *, list_transform(range(1, len(far)), lambda k: far[k + 1].a - far[k].b) AS w FROM (
+      SELECT video_id, i, CASE WHEN len(q) > 8 THEN q[2:] ELSE q END AS near, CASE WHEN len(q) > 8 THEN list_append(far, q[1]) ELSE far END AS far FROM (
+        SELECT r.video_id, s.i, list_append(r.near, {'a': s.timestamp_s, 'b': s.timestamp_s, 'n': 1::BIGINT}) AS q, r.far FROM run r JOIN seq s ON s.video_id = r.video_id AND s.i = r.i + 1)))))
+SELECT video_id, pool, (k - 1)::INTEGER AS place, x[k].a AS start_s, x[k].b AS end_s, x[k].n AS support FROM (SELECT *, unnest(range(1, len(x) + 1)) AS k FROM (
+  SELECT r.video_id, 'near' AS pool, r.near AS x """
+    + _LAST
+    + " UNION ALL SELECT r.video_id, 'far', r.far "
+    + _LAST
+    + "))",
+    True,
+)
+
+
+def _mmr(k: int = 5) -> str:
+    """Picks one after the other: the n-th picks with their vectors, and each frame's likeness to, and nearness in time of, all picked so far."""
+    steps = ["f0 AS (SELECT video_id, frame_id, timestamp_s / greatest(duration_s, 1e-9) AS t, embedding::DOUBLE[] AS v, score, 0e0::DOUBLE AS l, 0e0::DOUBLE AS n FROM u)"]
+    for i in range(1, k + 1):
+        steps.append(f"p{i} AS (SELECT * FROM (SELECT *, score - (5e-1 * l + 2e-1 * n) AS gain, row_number() OVER (PARTITION BY video_id ORDER BY round(score - (5e-1 * l + 2e-1 * n), 9) DESC, frame_id) AS rn FROM f{i - 1}) WHERE rn = 1)")
+        first = "greatest(0e0, list_cosine_similarity(f.v, p.v))" if i == 1 else "greatest(f.l, list_cosine_similarity(f.v, p.v))"
+        near = "1e0 - abs(f.t - p.t)" if i == 1 else "greatest(f.n, 1e0 - abs(f.t - p.t))"
+        steps.append(f"f{i} AS (SELECT f.video_id, f.frame_id, f.t, f.v, f.score, {first} AS l, {near} AS n FROM f{i - 1} f JOIN p{i} p ON p.video_id = f.video_id WHERE f.frame_id <> p.frame_id)")
+    rows = " UNION ALL ".join(f"SELECT video_id, {i}::INTEGER AS place, frame_id, round(gain, 6) AS gain FROM p{i}" for i in range(1, k + 1))
+    return f"AND u AS (SELECT *, list_cosine_similarity(embedding::DOUBLE[], q_emb::DOUBLE[]) AS score FROM vector_frames), {', '.join(steps)} {rows}"
+
+
+ORACLE_SQL["mmr_select"] = _with(["vector_frames"], _mmr())
+ORACLE_SQL["cross_fit_errors"] = _with(
+    ["evals"],
+    """AND r AS (SELECT video_id % 4 AS fold, score AS y, pred_end - pred_start AS a, latency AS b FROM evals), k AS (SELECT unnest(range(4)) AS k),
+s AS (SELECT k, count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, stddev_pop(a) AS da, stddev_pop(b) AS db, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS yb FROM r JOIN k ON r.fold <> k.k GROUP BY k),
+m AS (SELECT *, n + 1e0 AS p, n * ab / (da * db) AS q, n * ay / da AS u, n * yb / db AS v FROM s),
+c AS (SELECT *, (p * u - q * v) / (p * p - q * q) / da AS ca, (p * v - q * u) / (p * p - q * q) / db AS cb FROM m)
+SELECT r.fold, count(*) AS n, round(sqrt(avg((my + ca * (a - ma) + cb * (b - mb) - y) ** 2)), 5) AS rmse FROM r JOIN c ON c.k = r.fold GROUP BY r.fold""",
+)

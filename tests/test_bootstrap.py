@@ -1,6 +1,5 @@
 """Bootstrap draws held against brute force, as the oracle shares their text."""
 
-import hashlib
 import math
 
 import duckdb
@@ -23,11 +22,24 @@ def duck():
 
 
 def test_bootstrap_draws_ten_thousand(spark, duck):
-    means = [m for (m,) in duck.sql(oracle(lambda d: f"WITH {evaluation._paired(d)} SELECT avg(delta) AS m FROM paired GROUP BY video_id ORDER BY video_id")).fetchall()]
-    n = len(means)
-    draw = lambda r, i: means[int(hashlib.sha256(f"{r}:{i}".encode()).hexdigest()[:15], 16) % n]
+    rows = duck.sql(oracle(lambda d: f"WITH {evaluation._paired(d)} SELECT video_id, avg(delta) AS m FROM paired GROUP BY video_id ORDER BY video_id")).fetchall()
+    video, means = (np.array(x) for x in zip(*rows))
     got = catalogue.QUERIES["hash_bootstrap_ci"](spark, SF).collect()[0]
     assert got["n"] == 10_000
-    sums = [sum(draw(r, i) for i in range(n)) / n for r in range(1, 10_001)]
-    low, high = np.percentile(sums, [2.5, 97.5])
+    # the draws, one replicate after the other, in whole numbers of any size
+    prime, out = 2147483647, []
+    steps = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(8)]
+    for r in range(1, 10_001):
+        times = []
+        for v in video.tolist():
+            a = (v % prime * 48271 + 11) % prime
+            x = (((a + r * 40692) % prime) ** 2 + a) % prime
+            y = (x * x + r * 69621) % prime
+            times.append(sum((y * y + 1013904223) % prime >= int(prime * t) for t in steps))
+        out.append(np.dot(times, means) / sum(times))
+    low, high = np.percentile(out, [2.5, 97.5])
     assert math.isclose(got["low"], low, abs_tol=2e-5) and math.isclose(got["high"], high, abs_tol=2e-5)
+    # and they spread as those of a generator that draws as many videos as there are
+    rng = np.random.default_rng(5)
+    drawn = means[rng.integers(0, len(means), (10_000, len(means)))].mean(1)
+    assert abs(np.std(out) / np.std(drawn) - 1) < 0.05 and abs(np.mean(out) - np.mean(drawn)) < 0.05 * np.std(drawn)
