@@ -68,7 +68,7 @@ def utility_scores(d) -> str:
 
 
 def coverage_anchors(d) -> str:
-    """MEM-13, WIN-14: of the cards in each logarithmic bucket of time the one that is worth most stays."""
+    """MEM-09, WIN-14: of the cards in each logarithmic bucket of time the one that is worth most stays."""
     return f"""WITH u AS ({utility_scores(d)}), b AS (SELECT c.video_id, c.card_id, u.utility, CAST({d.floor("log2(1e0 + (c.t_start + c.t_end) / 2e0)")} AS BIGINT) AS bucket FROM {d.cards} c JOIN u ON u.video_id = c.video_id AND u.card_id = c.card_id)
     SELECT video_id, bucket, card_id, utility FROM (SELECT *, {d.rn('PARTITION BY video_id, bucket ORDER BY utility DESC, card_id')} AS rn FROM b) r WHERE rn = 1"""
 

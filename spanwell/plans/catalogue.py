@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..operators import cards, checks, evaluation, evidence, features, folds, integrity, selection, training
+from ..operators import cards, checks, evaluation, evidence, features, folds, integrity, memory, selection, training
 from ..sources import adapters
 from ..streaming import windows
 from . import oracles
@@ -13,18 +13,19 @@ _PLANS = {**selection.PLANS, **evaluation.PLANS, **integrity.PLANS, **evidence.P
 QUERIES = {name: query(plan) for name, plan in _PLANS.items()}
 ORACLE_SQL = {name: oracle(plan) for name, plan in _PLANS.items()}
 
-_VECTOR_FOLDS = {"semantic_reservoir", "hierarchical_events"}
+_FOLDS = {**folds.FOLDS, "structured_memory": memory.StructuredMemory}
+_VECTOR_FOLDS = {"semantic_reservoir", "hierarchical_events", "structured_memory"}
 
 
 def _fold(name):
     def run(spark, sf_dir):
         source = adapters.vector_frames(spark, sf_dir) if name in _VECTOR_FOLDS else adapters.frames(spark, sf_dir)
-        return folds.run_fold(source, folds.FOLDS[name]())
+        return folds.run_fold(source, _FOLDS[name]())
 
     return run
 
 
-QUERIES |= {name: _fold(name) for name in folds.FOLDS}
+QUERIES |= {name: _fold(name) for name in _FOLDS}
 QUERIES |= {
     "temporal_nms": lambda s, d: folds.temporal_nms(adapters.evals(s, d).select("query_id", "candidate", "pred_start", "pred_end", "score")),
     "mmr_select": lambda s, d: folds.mmr_select(adapters.vector_frames(s, d)),
