@@ -6,6 +6,7 @@ order-free content hash; a reader verifies both before it hands out any row.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -76,3 +77,63 @@ def append_trace(trace: DataFrame, new: DataFrame) -> DataFrame:
     added = new.withColumn("_n", F.row_number().over(order)).join(top, "video_id", "left")
     added = added.withColumn("sequence", (F.coalesce("_top", F.lit(0)) + F.col("_n")).cast("long")).drop("_n", "_top")
     return trace.unionByName(added.select(*trace.columns))
+
+
+RESOURCE_COLUMNS = ["video_id", "phase", "component", "wall_s", "cpu_s", "cuda_s", "peak_bytes", "cold"]
+
+
+def write_resources(costs: DataFrame, path: str) -> None:
+    """SNK-10: resource records as CSV with a header and eight fixed columns."""
+    costs.select(*RESOURCE_COLUMNS).write.mode("errorifexists").csv(path, header=True)
+
+
+def concatenated(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
+    """SNK-11: the rows of all shards of one schema, malformed ones refused; their order counts for nothing."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(paths)
+
+
+def write_plan(plan: DataFrame, path: str, overwrite: bool = False) -> str:
+    """SNK-03: an arrival plan in canonical order as JSON lines, and its hash beside it; an existing one stays unless told."""
+    mode = "overwrite" if overwrite else "errorifexists"
+    lines = plan.select(F.struct("video_id", "query_id", "rho").alias("k"), F.to_json(F.struct(*sorted(plan.columns))).alias("value"))
+    lines.orderBy("k").select("value").write.mode(mode).text(f"{path}/plan")
+    mark = plan_hash(plan.sparkSession, path)
+    plan.sparkSession.createDataFrame([(mark,)], "sha string").coalesce(1).write.mode(mode).json(f"{path}/sha")
+    return mark
+
+
+def plan_hash(spark: SparkSession, path: str) -> str:
+    """Hash over the hashes of the lines, which carry their own order."""
+    rows = spark.read.text(f"{path}/plan").select(F.sha2("value", 256).alias("h"))
+    total = rows.agg(F.count(F.lit(1)), F.sum(F.conv(F.substring("h", 1, 15), 16, 10).cast("decimal(38,0)"))).first()
+    return f"{total[0]}:{total[1] or 0}"
+
+
+def read_plan(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """SNK-04: a plan whose hash is that beside it."""
+    stated = spark.read.schema("sha string").json(f"{path}/sha").first()
+    if stated is None or stated["sha"] != plan_hash(spark, path):
+        raise ValueError(f"plan {path} differs from its hash")
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(f"{path}/plan")
+
+
+#: What an event snapshot may hold: nothing of a query.
+EVENT_COLUMNS = ["video_id", "level", "event", "start_s", "end_s", "support", "first_frame", "last_frame"]
+
+
+def write_events(events: DataFrame, path: str) -> None:
+    """SNK-16, SNK-02: a snapshot of events alone, written once."""
+    write_snapshot(assert_columns(events, {"query", "query_id", "query_embedding", "gt_span"}).select(*EVENT_COLUMNS), path)
+
+
+def register(spark: SparkSession, path: str, record: dict[str, str]) -> None:
+    """CTL-12: one more row of an experiment registry; an experiment that stands there already raises."""
+    row = spark.createDataFrame([(record["experiment"], record)], "experiment string, fields map<string,string>")
+    try:
+        known = spark.read.schema(row.schema).parquet(path)
+        if known.where(F.col("experiment") == record["experiment"]).limit(1).count():
+            raise ValueError(f"{record['experiment']} is registered")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    row.coalesce(1).write.mode("append").parquet(path)
