@@ -1,8 +1,4 @@
-"""Evaluation, cost and gate operators as relational plans.
-
-Ids of the inventory: AGG-01..12, 16..25, 27..34, 45, 47, 48; JOIN-01..08, 11, 20, 22, 23, 26; PRJ-01..07, 17, 18, 20, 26;
-WIN-12, 13, 15, 16; TOP-04; MTH-01, 02, 07, 08, 10, 15, 16, 22, 23, 24; CTL-01, 04..07; RET-12, 13; AGG-13 (hash-indexed draws).
-"""
+"""Evaluation, cost and gate operators as relational plans."""
 
 from __future__ import annotations
 

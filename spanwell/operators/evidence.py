@@ -1,8 +1,4 @@
-"""Evidence, parsing, allocation and card operators as relational plans.
-
-Ids of the inventory: TOP-14..19, 33; WIN-05, 18; AGG-25, 26, 31; MTH-11, 12, 13, 14 (signals as columns), 25, 27, 30; STR-09..12, 14;
-TIM-05, 07; MEM-11, 20, 21; RET-06, 07, 11, 17, 18, 19; SRC-20..22; CTL-06, 08, 17.
-"""
+"""Evidence, parsing, allocation and card operators as relational plans."""
 
 from __future__ import annotations
 

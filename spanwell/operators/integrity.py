@@ -1,8 +1,4 @@
-"""Integrity, set, hierarchy and text operators as relational plans.
-
-Ids of the inventory: SET-01..10; JOIN-03, 12, 13, 17..19, 21, 24, 25, 27; SRC-06, 08, 09, 18, 19, 22; SNK-03..06, 14, 15;
-STR-01..08, 13; JSN-03..05; HSH-01, 05..07; MEM-02, 03, 17, 18, 19; PRJ-08..11, 13, 19, 21; AGG-37..39; MTH-09..13, 26; RET-04, 05; STM-02, 06, 19.
-"""
+"""Integrity, set, hierarchy and text operators as relational plans."""
 
 from __future__ import annotations
 

@@ -1,8 +1,4 @@
-"""Selection, sampling and sequence operators as relational plans.
-
-Ids of the inventory: TOP-01..09, 13, 14, 20 (core), 23..30, 32; WIN-01..08, 12..15, 17..19; TIM-01..04, 06;
-HSH-02..04; STM-01 (batch), STM-04; JOIN-14, 15, 16; RET-01, 02, 09, 16; MEM-09, 13, 14, 23; STM-10 (static victim order).
-"""
+"""Selection, sampling and sequence operators as relational plans."""
 
 from __future__ import annotations
 

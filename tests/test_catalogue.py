@@ -32,3 +32,18 @@ def test_oracle(spark, duck, name):
     at = [rel.columns.index(c) for c in cols]
     got = sorted((tuple(norm(r[c]) for c in cols) for r in df.collect()), key=repr)
     assert got == sorted((tuple(norm(r[i]) for i in at) for r in rel.fetchall()), key=repr)
+
+
+@pytest.fixture(scope="module")
+def bare(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("bare")
+    for t in RAW:
+        spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"{folder}/{t}.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+def test_empty_tables(spark, bare, name):
+    df = catalogue.QUERIES[name](spark, bare)
+    assert df.columns == catalogue.QUERIES[name](spark, SF).columns
+    df.collect()

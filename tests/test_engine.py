@@ -45,6 +45,26 @@ def stream(n=40, seed=1):
     return [{"video_id": 1, "frame_id": i, "timestamp_s": float(t[i]), "duration_s": float(t[-1]), "value": float(rng.random() * 490), "kind": ["view", "click", "error", "purchase"][i % 4], "embedding": [float(x) for x in rng.normal(size=6)]} for i in range(n)]
 
 
+def test_event_memory_by_hand():
+    # frames too far apart to join: seven closed events fit the bottom level beside the open one
+    rows = [{"video_id": 1, "frame_id": i, "timestamp_s": i * 1e6, "embedding": [1.0, 0.0]} for i in range(10)]
+    shape = lambda n, caps: [(r["level"], r["support"]) for r in folds.fold_rows(folds.EventMemory(caps), iter(rows[:n]))]
+    assert shape(8, (8, 4, 2)) == [(0, 1)] * 8
+    # the ninth frame closes an eighth event: the two oldest go up as one
+    assert shape(9, (8, 4, 2)) == [(1, 2)] + [(0, 1)] * 7
+    # two levels of two and one: pairs carried up meet at the top and stay there
+    assert shape(3, (2, 1)) == [(1, 2), (0, 1)] and shape(5, (2, 1)) == [(1, 4), (0, 1)]
+    # near and alike frames are one event, whose direction is the mean
+    near = [{"video_id": 1, "frame_id": i, "timestamp_s": float(i), "embedding": v} for i, v in enumerate([[1.0, 0.0], [0.0, 1.0], [0.6, 0.8], [-1.0, -0.2]])]
+    fold = folds.EventMemory(alike=0.5)
+    state = fold.start()
+    for r in near[:1] + near[2:3]:
+        fold.step(state, r)
+    assert state["open"][0] == 2 and np.allclose(state["open"][1], np.array([1.6, 0.8]) / math.hypot(1.6, 0.8))
+    fold.step(state, near[3])
+    assert state["open"][0] == 1 and len(state["levels"][0]) == 1
+
+
 def test_event_memory_conserves_support():
     for n in (0, 1, 5, 300):
         out = folds.fold_rows(folds.EventMemory(), iter(stream(n)))
@@ -111,11 +131,15 @@ def test_streaming_windows(spark, tmp_path):
 
 
 def test_frames_source(spark, tmp_path):
-    lines = [{"video_id": "demo", "fps": 1, "timestamp_s": float(t), "frame_index": t, "image_b64": base64.b64encode(f"frame{t}".encode()).decode(), "width": 1, "height": 1} for t in range(0, 14, 2)]
-    (tmp_path / "frames.jsonl").write_text("\n".join(map(json.dumps, lines)))
-    df = sinks.read_frames(spark, str(tmp_path / "frames.jsonl"))
-    assert df.count() == 7 and df.agg(F.max("timestamp_s")).first()[0] == 12.0
-    assert {bytes(r["payload"]).decode() for r in df.collect()} == {f"frame{t}" for t in range(0, 14, 2)}
+    def line(video, t, size):
+        return json.dumps({"video_id": video, "fps": 3, "timestamp_s": t, "frame_index": round(t * 3), "image_b64": base64.b64encode(bytes(range(size))).decode(), "width": size, "height": 2})
+
+    (tmp_path / "a.jsonl").write_text("\n".join([line("cat", 1 / 3, 5), line("cat", 1.0, 0), line("dog", 7 / 3, 9)]) + "\n")
+    df = sinks.read_frames(spark, f"{tmp_path}/a.jsonl")
+    assert sorted((r["video_id"], r["frame_id"], len(r["payload"])) for r in df.collect()) == [("cat", 1, 5), ("cat", 3, 0), ("dog", 7, 9)]
+    (tmp_path / "b.jsonl").write_text(line("cat", 1.0, 1) + '\n{"video_id": "cat", "fps": \n')
+    with pytest.raises(Exception):
+        sinks.read_frames(spark, f"{tmp_path}/b.jsonl").collect()
 
 
 def test_snapshots_are_verified(spark, tmp_path):
