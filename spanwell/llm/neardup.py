@@ -44,6 +44,8 @@ PERMUTATIONS = 64
 BANDS = 32
 ROWS = 2 * PERMUTATIONS // BANDS
 MAP_BITS = 4096
+#: Keys of repeated rows (16 bytes each) that are broadcast; more are joined by a sort.
+BROADCAST_KEYS = 100_000
 
 _rng = np.random.default_rng(8254729)
 _MULTIPLIERS = _rng.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -178,7 +180,7 @@ class NearDuplicates:
         """One text for every node that shares a bucket."""
         nodes = self.profile.where(F.col("node").isNotNull()).join(buckets.select("node").distinct(), "node", "left_semi")
         pick = nodes.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("p")).select("node", F.col("p.doc_id").alias("d"), F.col("p.th").alias("h"))
-        found = self.docs.join(pick, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")))
+        found = self.docs.join(Stored(pick, "near-pick").df.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")))
         return found.select("node", "text").dropDuplicates(["node"])
 
     def _verify(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -265,16 +267,28 @@ def one_of_each(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFra
     """The rows of ``docs``, all columns, without near duplicates: one row of each component stays.
 
     It is the row with the smallest doc_id (null last, then by content, of all
-    columns); rows without words have no duplicates and all stay.
+    columns); rows without words have no duplicates and all stay.  The rows are
+    sorted by key once, against the keys of those that go; those that stay but
+    stand there more than once are few, and fetched by their counted keys.
     """
     rows = packed(docs)
-    rows = rows.select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("row.text", F.lit(""))).alias("th"), content_hash(rows).alias("all"))
-    found = NearDuplicates(docs, percent, shingle)
-    worded = found.profile.where(F.col("node").isNotNull()).select("doc_id", "th", "node").join(found.links(), "node", "left")
-    first = worded.groupBy(F.coalesce("component", "node").alias("c")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("p"))
-    first = first.select(F.col("p.doc_id").alias("d"), F.col("p.th").alias("h"))
-    some = F.coalesce(F.col("row.text").rlike(WORD_CLASS), F.lit(False))
-    # rows that agree in doc_id and text, but not in the rest: the least hash of all columns stays
-    kept = rows.where(some).join(first, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")))
-    kept = kept.groupBy("doc_id", "th").agg(F.min_by("row", "all").alias("row")).select("row.*")
-    return kept.unionByName(docs.where(~F.coalesce(F.col("text").rlike(WORD_CLASS), F.lit(False))))
+    text = F.col("row.text")
+    rows = rows.select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"), content_hash(rows).alias("all"), F.coalesce(text.rlike(WORD_CLASS), F.lit(False)).alias("worded"))
+    key = ["th", "all"]  # 128 bits that name a row's content
+    with scratch() as kept:
+        found = NearDuplicates(docs, percent, shingle)
+        named = found.profile.where(F.col("node").isNotNull()).select("doc_id", "th", "node").distinct().join(found.links(), "node", "left")
+        named = named.select(F.col("doc_id").alias("d"), F.col("th").alias("h"), F.coalesce("component", "node").alias("c"))
+        slim = Stored(rows.where("worded").groupBy("doc_id", "th", "all").count(), "near-rows").df
+        slim = Stored(slim.join(named, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h"))), "near-named").df
+        place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "all")
+        first = Stored(slim.groupBy("c").agg(F.min(place).alias("p")), "near-first").df
+        slim = slim.join(first, "c").select(*key, (place != F.col("p")).alias("gone"), "count")
+        # rows to leave out, and those that stay but stand there more than once; no text travels for the others
+        marked = Stored(slim.where("gone or count > 1").select(*key, "gone"), "near-marked").df
+        kept.append(marked)
+    once = rows.join(marked.hint("merge"), key, "left_anti").select("row")
+    stay = marked.where("not gone")
+    stay = F.broadcast(stay) if stay.count() <= BROADCAST_KEYS else stay.hint("merge")
+    repeated = rows.join(stay, key, "left_semi").groupBy(*key).agg(F.first("row").alias("row")).select("row")
+    return once.unionByName(repeated).select("row.*")

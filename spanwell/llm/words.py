@@ -11,6 +11,7 @@ handled whole.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -39,9 +40,25 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _no_trim() -> None:
+    """Other C libraries have no such call."""
+
+
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+
+    def _trim() -> None:
+        """Freed memory goes back to the system: workers live on between stages."""
+        _libc.malloc_trim(0)
+
+except (OSError, AttributeError):
+    _trim = _no_trim
+
+
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string array; nulls are empty.  Called once a batch, it hands back what earlier batches left unused."""
     pa.default_memory_pool().release_unused()
+    _trim()
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.cast(pa.large_string())
