@@ -228,4 +228,12 @@ def hybrid_query(d) -> str:
     SELECT video_id, candidate_id, CASE WHEN refined THEN 'ok' ELSE 'fallback' END AS status, round(CASE WHEN refined THEN fine_start ELSE start_s END, 6) AS start_s, round(CASE WHEN refined THEN fine_end ELSE end_s END, 6) AS end_s FROM g"""
 
 
-PLANS = {f.__name__: f for f in (span_validity, future_guard, duration_alias, rho_canonical, fixed_samples, safe_ids, size_suffix, display_forms, embedding_texts, ordered_unique, coverage_sample, zipped_lists, padded_batch, point_lookup, rebased_times, full_load, token_loader, blob_lookup, snapshot_join, asset_identity, observation_checks, remaining_jobs, data_roles, golden_compare, staged_selection, grids_by_budget, candidate_union, candidate_margin, worst_slots, encode_batches, summary_segments, visible_retrieval, hybrid_query)}
+def budgeted_refinement(d) -> str:
+    """RET-08, RET-03: candidates of a video are refined by rank while calls are left (four), empty ones cost none; the rest stay coarse, and the best of all is the answer."""
+    return f"""WITH {_candidates(d)}, r AS (SELECT *, {d.rn('PARTITION BY video_id ORDER BY score DESC, best_rank, candidate_id')} AS rk, CASE WHEN end_s - start_s >= 3600e0 THEN 1 ELSE 0 END AS costs FROM span),
+    c AS (SELECT *, sum(costs) OVER (PARTITION BY video_id ORDER BY rk ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS calls FROM r),
+    f AS (SELECT *, costs = 1 AND calls <= 4 AS refined, score + CASE WHEN costs = 1 AND calls <= 4 THEN 1e-1 * (end_s - start_s) / (end_s - start_s + 86400e0) ELSE 0e0 END AS final FROM c)
+    SELECT video_id, candidate_id, rk, refined, round(final, 6) AS final, {d.rn('PARTITION BY video_id ORDER BY round(final, 9) DESC, rk')} = 1 AS answer FROM f WHERE rk <= 8"""
+
+
+PLANS = {f.__name__: f for f in (span_validity, future_guard, duration_alias, rho_canonical, fixed_samples, safe_ids, size_suffix, display_forms, embedding_texts, ordered_unique, coverage_sample, zipped_lists, padded_batch, point_lookup, rebased_times, full_load, token_loader, blob_lookup, snapshot_join, asset_identity, observation_checks, remaining_jobs, data_roles, golden_compare, staged_selection, grids_by_budget, candidate_union, candidate_margin, worst_slots, encode_batches, summary_segments, visible_retrieval, hybrid_query, budgeted_refinement)}

@@ -308,14 +308,34 @@ def frame_of(rows: list[dict], schema: str) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[n for n, _ in fields]).astype({n: kinds[k] for n, k in fields})
 
 
+def _records(b: pd.DataFrame) -> Iterator[dict]:
+    names = list(b.columns)
+    for values in zip(*(b[c].tolist() for c in names), strict=True):
+        yield dict(zip(names, values, strict=True))
+
+
 def run_fold(frames: DataFrame, fold) -> DataFrame:
-    """One row or more for each output of ``fold`` over every video; the rows of a video are one group."""
+    """The outputs of ``fold`` over every video.
 
-    def apply(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["timestamp_s", "frame_id"], kind="stable")
-        return frame_of(fold_rows(fold, iter(g.to_dict("records"))), fold.schema)
+    Videos are dealt to tasks and sorted by the engine (which can spill); a task
+    reads batch after batch and holds the state of one video, never its rows.
+    """
 
-    return frames.groupBy("video_id").applyInPandas(apply, fold.schema)
+    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, None
+        end = lambda s: fold.finish(s) if s is not None and hasattr(fold, "finish") else []
+        for b in batches:
+            out: list[dict] = []
+            for r in _records(b):
+                if state is None or r["video_id"] != key:
+                    out += end(state)
+                    key, state = r["video_id"], fold.start()
+                out += fold.step(state, r)
+            yield frame_of(out, fold.schema)
+        yield frame_of(end(state), fold.schema)
+
+    dealt = frames.where(F.col("video_id").isNotNull()).repartition("video_id").sortWithinPartitions("video_id", "timestamp_s", "frame_id")
+    return dealt.mapInPandas(apply, fold.schema)
 
 
 def temporal_nms(candidates: DataFrame, threshold: float = 0.3, most: int = 5) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Places where models plug in: batch encoders, refiners, writers and span readers (ML-03..06, 10..13, 16; RET-03, 15).
+"""Places where models plug in: batch encoders, refiners, writers and span readers (ML-10..13, 16).
 
 A hook is a factory: it is called once in each Python worker and gives a function of
 a batch, so that a model is loaded once and never pickled.  Without models, the

@@ -20,9 +20,10 @@ def identity_exclusions(d) -> str:
 
 
 def disjointness_audit(d) -> str:
-    """SET-02, SET-03: contents that two languages share."""
-    t = f"SELECT DISTINCT lang, {d.sha('text')} AS h FROM {d.documents}"
-    return f"SELECT a.lang AS lang_a, b.lang AS lang_b, count(*) AS shared FROM ({t}) a JOIN ({t}) b ON a.h = b.h AND a.lang < b.lang GROUP BY a.lang, b.lang"
+    """SET-02, SET-03: for every two languages how many contents they share; a content counts once a language."""
+    t = f"SELECT lang, {d.sha('text')} AS h FROM {d.documents} GROUP BY lang, {d.sha('text')}"
+    return f"""WITH t AS ({t}), l AS (SELECT lang, count(*) AS contents FROM t GROUP BY lang), s AS (SELECT a.lang AS x, b.lang AS y, count(*) AS n FROM t a JOIN t b ON a.h = b.h AND a.lang < b.lang GROUP BY a.lang, b.lang)
+    SELECT a.lang AS lang_a, b.lang AS lang_b, a.contents AS contents_a, b.contents AS contents_b, coalesce(s.n, 0) AS shared FROM l a JOIN l b ON a.lang < b.lang LEFT JOIN s ON s.x = a.lang AND s.y = b.lang"""
 
 
 def fd_violations(d) -> str:
@@ -93,7 +94,8 @@ def normalized_text(d) -> str:
 
 
 def _bags(d) -> str:
-    return f"""doc_bag AS (SELECT doc_id, w, count(*) AS n FROM {d.documents} {d.unnest(d.tokens('text'), 'w')} GROUP BY doc_id, w),
+    """Bags of words and cosines.  Texts are dealt by document first, so that their words, counts and sums stay where they are."""
+    return f"""doc_bag AS (SELECT doc_id, w, count(*) AS n FROM (SELECT /*+ REPARTITION(doc_id) */ doc_id, text FROM {d.documents}) t {d.unnest(d.tokens('text'), 'w')} GROUP BY doc_id, w),
     item_bag AS (SELECT item_id, w, count(*) AS n FROM {d.benchmark} {d.unnest(d.tokens('text'), 'w')} GROUP BY item_id, w),
     doc_norm AS (SELECT doc_id, sqrt(sum(CAST(n AS DOUBLE) * n)) AS z FROM doc_bag GROUP BY doc_id), item_norm AS (SELECT item_id, sqrt(sum(CAST(n AS DOUBLE) * n)) AS z FROM item_bag GROUP BY item_id),
     sims AS (SELECT i.item_id, t.doc_id, sum(CAST(i.n AS DOUBLE) * t.n) AS dot FROM item_bag i JOIN doc_bag t ON t.w = i.w GROUP BY i.item_id, t.doc_id),
