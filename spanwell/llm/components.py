@@ -2,7 +2,8 @@
 
 Every round writes its edges to the shared folder, so lineage stays short and a
 lost executor costs one round at most.  No neighbour list is ever gathered: a
-round is a minimum per node and a join back to the edges.
+round is a minimum per node and a join back to the edges.  Rounds end when all
+edges form stars, which one count per node tells.
 """
 
 from __future__ import annotations
@@ -37,14 +38,17 @@ def components(edges: DataFrame) -> DataFrame:
     Repeated edges and loops are allowed; null ends are left out.
     """
     e = Stored(edges.select("u", "v").where(F.col("u") != F.col("v")).distinct(), "cc")
-    mark = None
-    while True:
+    while not _stars(e.df):
         n = Stored(_small_star(_large_star(e.df)), "cc")
-        now = n.df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         e.drop()
         e = n
-        if tuple(now) == mark:
-            break
-        mark = tuple(now)
-    # the edges are stars by now: each node with its smallest
+    # each node with its smallest
     return e.df.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.df.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+
+
+def _stars(e: DataFrame) -> bool:
+    """Whether every edge leads from a node of its own to the smallest of its component, and nowhere on."""
+    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into"), (F.col("v") > F.col("u")).cast("int").alias("up"))
+    ends = ends.unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("into"), F.lit(0).alias("up")))
+    node = ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("into").alias("into"), F.max("up").alias("up"))
+    return not node.where("out > 1 OR (out = 1 AND into = 1) OR up = 1").limit(1).count()

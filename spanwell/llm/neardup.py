@@ -178,8 +178,9 @@ class NearDuplicates:
 
     def _texts(self, buckets: DataFrame) -> DataFrame:
         """One text for every node that shares a bucket."""
-        nodes = self.profile.where(F.col("node").isNotNull()).join(buckets.select("node").distinct(), "node", "left_semi")
-        pick = nodes.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("p")).select("node", F.col("p.doc_id").alias("d"), F.col("p.th").alias("h"))
+        # first one row a node, so that a text with many copies is no hot key of the join
+        pick = self.profile.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("p"))
+        pick = pick.join(buckets.select("node").distinct(), "node", "left_semi").select("node", F.col("p.doc_id").alias("d"), F.col("p.th").alias("h"))
         found = self.docs.join(Stored(pick, "near-pick").df.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")))
         return found.select("node", "text").dropDuplicates(["node"])
 
@@ -210,7 +211,7 @@ class NearDuplicates:
         met = buckets.where("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
         open_ = named(named(met, "a", "ca"), "b", "cb").where("ca != cb").join(star.select(F.col("node").alias("b"), F.col("lead").alias("a")), ["a", "b"], "left_anti")
         second = Stored(self._verify(open_.select("a", "b"), texts), "near-links").df
-        label = Stored(components(label.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(second)), "near-components").df
+        label = self._joined(label, second)
         # round 3: nodes of one bucket that are still apart, with one another
         member = named(buckets, "node", "c")
         member = self._apart(member).where("node != lead").join(sizes, "node").select("h", "node", "c", "n_shingles")
@@ -227,8 +228,14 @@ class NearDuplicates:
         enough = alike * (100 + self.percent) >= self.percent * (F.col("n_shingles_a") + F.col("n_shingles_b"))
         cross = x.join(y, (x["h"] == y["h"]) & able & (first_shared == x["h"]) & enough)
         cross = Stored(cross.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "near-cross").df
-        third = self._verify(cross, texts)
-        return Stored(components(label.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(third)), "near-components").df
+        return self._joined(label, Stored(self._verify(cross, texts), "near-links").df)
+
+    @staticmethod
+    def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
+        """(node, component) after further links; unchanged if there are none."""
+        if not links.limit(1).count():
+            return label
+        return Stored(components(label.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links)), "near-components").df
 
     @staticmethod
     def _apart(member: DataFrame) -> DataFrame:
