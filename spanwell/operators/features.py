@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import norm, normalize, quantize_int8
+from ..functions.columns import dot, norm, quantize_int8
 
 DAY = 86400.0
 
@@ -35,12 +35,17 @@ def cell_summary(frames: DataFrame) -> DataFrame:
 
 
 def cell_change(frames: DataFrame) -> DataFrame:
-    """WIN-07: distance of each cell's normalised mean to those of the occupied cells before and after."""
+    """WIN-07: distance of each cell's normalised mean to those of the occupied cells before and after.
+
+    Two unit vectors are sqrt(2 - 2 cos) apart, so one product and the lengths do; a mean of length zero has no direction and no distance.
+    """
     w = Window.partitionBy("video_id").orderBy("cell")
-    t = cell_tokens(frames).select("video_id", "cell", normalize(F.col("mean")).alias("u"))
-    t = t.withColumn("p", F.lag("u").over(w)).withColumn("q", F.lead("u").over(w))
-    far = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    return t.select("video_id", "cell", _r(far(F.col("u"), F.col("p")), 5).alias("left_change"), _r(far(F.col("u"), F.col("q")), 5).alias("right_change"))
+    t = cell_tokens(frames).select("video_id", "cell", "mean", norm(F.col("mean")).alias("len"))
+    near = [F.lag(c).over(w).alias(f"p_{c}") for c in ("mean", "len")] + [F.lead(c).over(w).alias(f"q_{c}") for c in ("mean", "len")]
+    t = t.select("video_id", "cell", "mean", "len", *near)
+    both = lambda k: F.col("len") * F.col(f"{k}_len")
+    far = lambda k: F.sqrt(F.greatest(F.lit(0.0), 2.0 - 2.0 * dot(F.col("mean"), F.col(f"{k}_mean")) / F.when(both(k) > 0, both(k))))
+    return t.select("video_id", "cell", F.when(both("p") > 0, _r(far("p"), 5)).alias("left_change"), F.when(both("q") > 0, _r(far("q"), 5)).alias("right_change"))
 
 
 def offset_scores(scored: DataFrame, reach: int = 2) -> DataFrame:
