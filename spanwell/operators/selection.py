@@ -138,7 +138,7 @@ def eviction_victims(d) -> str:
 def fifo_retention(d) -> str:
     """MEM-14, STM-10: the newest frames whose summed sizes fit the budget."""
     return f"""SELECT video_id, frame_id, round(used, 4) AS used FROM (
-      SELECT video_id, frame_id, sum(value) OVER (PARTITION BY video_id ORDER BY timestamp_s DESC, frame_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used FROM {d.frames}) f WHERE used <= 2000e0"""
+      SELECT video_id, frame_id, {d.running('value', 'PARTITION BY video_id ORDER BY timestamp_s DESC, frame_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW')} AS used FROM {d.frames}) f WHERE used <= 2000e0"""
 
 
 def first_recent_retention(d) -> str:

@@ -144,6 +144,17 @@ class SparkDialect(_Dialect):
     def string(self, x):
         return f"CAST({x} AS STRING)"
 
+    def running(self, x, over, start=None):
+        """``start`` and the window's sum of ``x``, added exactly as long as every summand is a number of at most 9 places.
+
+        The sum of doubles depends on their order, so a total that is just a bound may miss it.
+        """
+        exact = lambda v: f"CASE WHEN CAST(try_cast({v} AS DECIMAL(28, 9)) AS DOUBLE) = {v} THEN try_cast({v} AS DECIMAL(28, 9)) END"
+        fit = f"count({exact(x)}) OVER ({over}) = count({x}) OVER ({over})"
+        if start is None:
+            return f"CASE WHEN {fit} THEN CAST(sum({exact(x)}) OVER ({over}) AS DOUBLE) ELSE sum({x}) OVER ({over}) END"
+        return f"CASE WHEN {fit} AND {exact(start)} IS NOT NULL THEN CAST({exact(start)} + sum({exact(x)}) OVER ({over}) AS DOUBLE) ELSE {start} + sum({x}) OVER ({over}) END"
+
 
 class DuckDialect(_Dialect):
     all_flag = ", 'g'"
@@ -237,6 +248,9 @@ class DuckDialect(_Dialect):
     def string(self, x):
         return f"CAST({x} AS VARCHAR)"
 
+    def running(self, x, over, start=None):
+        return f"{start + ' + ' if start else ''}sum({x}) OVER ({over})"
+
 
 def expand_rounds(text: str) -> str:
     """``round(x, n)`` in the same double arithmetic on both engines, which round halves of doubles differently."""
