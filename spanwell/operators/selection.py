@@ -145,7 +145,7 @@ def first_recent_retention(d) -> str:
     """MEM-14: the first frame stays, and the newest of the rest within the budget."""
     return f"""WITH n AS (SELECT *, {d.rn('PARTITION BY video_id ORDER BY timestamp_s, frame_id')} AS rn FROM {d.frames}),
     f AS (SELECT video_id, value AS v0 FROM n WHERE rn = 1),
-    u AS (SELECT n.video_id, n.frame_id, f.v0 + sum(n.value) OVER (PARTITION BY n.video_id ORDER BY n.timestamp_s DESC, n.frame_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used FROM n JOIN f ON f.video_id = n.video_id WHERE n.rn > 1)
+    u AS (SELECT n.video_id, n.frame_id, {d.running('n.value', 'PARTITION BY n.video_id ORDER BY n.timestamp_s DESC, n.frame_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW', 'f.v0')} AS used FROM n JOIN f ON f.video_id = n.video_id WHERE n.rn > 1)
     SELECT video_id, frame_id FROM u WHERE used <= 2000e0 UNION ALL SELECT video_id, frame_id FROM n WHERE rn = 1"""
 
 

@@ -19,3 +19,10 @@ def test_fifo_keeps_what_sums_to_the_budget(spark):
     assert [kept[1, 100 - i] for i in range(7)][-1] == 2000.0 and (1, 93) not in kept
     # a little more than the budget, sizes that are no decimals, and none at all
     assert {k: v for k, v in kept.items() if k[0] > 1} == {(2, 200): 2000.0, (4, 400): 1999.0, (5, 499): 1.5}
+
+
+def test_first_and_recent_keep_what_sums_to_the_budget(spark):
+    newest = [205.71, 398.41, 219.73, 126.27, 248.52, 131.4, 214.91, 251.92, 193.03]  # with 10.1 2000, added as doubles 2000.0000000000002
+    got = on(spark, selection.first_recent_retention, frames(spark, [*newest, 0.01, 10.1], [1.0, None], [1e300, 1.0], [5.0, 1999.0]))
+    kept = {tuple(r) for r in got.collect()}
+    assert kept == {*((1, 100 - i) for i in range(9)), (1, 90), (2, 199), (3, 299), (4, 399)}
