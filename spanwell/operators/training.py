@@ -146,8 +146,8 @@ def frame_signals(d) -> str:
     bin_ = lambda c, n: f"least({n - 1}, CAST({d.floor(f'{c} * {n}')} AS BIGINT))"
     return f"""WITH {_pixels(d)}, n AS (SELECT frame_id, lag(frame_id) OVER (PARTITION BY video_id ORDER BY timestamp_s, frame_id) AS before FROM {d.frames}),
     c AS (SELECT frame_id, {bin_('h', HUE_BINS)} * 16 + {bin_('s', OTHER_BINS)} * 4 + {bin_('v', OTHER_BINS)} AS bin, count(*) / {PIXELS}e0 AS share FROM p GROUP BY frame_id, {bin_('h', HUE_BINS)} * 16 + {bin_('s', OTHER_BINS)} * 4 + {bin_('v', OTHER_BINS)}),
-    b AS (SELECT n.frame_id, sum(sqrt(a.share * z.share)) AS coefficient FROM n JOIN c a ON a.frame_id = n.before JOIN c z ON z.frame_id = n.frame_id AND z.bin = a.bin GROUP BY n.frame_id),
-    m AS (SELECT n.frame_id, avg(a.grey) AS ma, avg(z.grey) AS mz, avg(a.grey * a.grey) AS aa, avg(z.grey * z.grey) AS zz, avg(a.grey * z.grey) AS az FROM n JOIN p a ON a.frame_id = n.before JOIN p z ON z.frame_id = n.frame_id AND z.k = a.k GROUP BY n.frame_id)
+    b AS (SELECT {d.sorted_join('a', 'z')}n.frame_id, sum(sqrt(a.share * z.share)) AS coefficient FROM n JOIN c a ON a.frame_id = n.before JOIN c z ON z.frame_id = n.frame_id AND z.bin = a.bin GROUP BY n.frame_id),
+    m AS (SELECT {d.sorted_join('a', 'z')}n.frame_id, avg(a.grey) AS ma, avg(z.grey) AS mz, avg(a.grey * a.grey) AS aa, avg(z.grey * z.grey) AS zz, avg(a.grey * z.grey) AS az FROM n JOIN p a ON a.frame_id = n.before JOIN p z ON z.frame_id = n.frame_id AND z.k = a.k GROUP BY n.frame_id)
     SELECT m.frame_id, round(sqrt(greatest(0e0, 1e0 - least(1e0, coalesce(coefficient, 0e0)))), 5) AS colour, round(greatest(0e0, least(2e0, 1e0 - (2e0 * ma * mz + 65025e-4) * (2e0 * (az - ma * mz) + 585225e-4) / ((ma * ma + mz * mz + 65025e-4) * ((aa - ma * ma) + (zz - mz * mz) + 585225e-4)))), 5) AS structure FROM m LEFT JOIN b ON b.frame_id = m.frame_id"""
 
 

@@ -144,6 +144,10 @@ class SparkDialect(_Dialect):
     def string(self, x):
         return f"CAST({x} AS STRING)"
 
+    def sorted_join(self, *names):
+        """Joins with the named inputs are by sorting: Spark takes rows that an array made for as few as the rows it made them of, and would broadcast them."""
+        return f"/*+ MERGE({', '.join(names)}) */ "
+
     def running(self, x, over, start=None):
         """``start`` and the window's sum of ``x``, added exactly as long as every summand is a number of at most 9 places.
 
@@ -248,6 +252,9 @@ class DuckDialect(_Dialect):
     def string(self, x):
         return f"CAST({x} AS VARCHAR)"
 
+    def sorted_join(self, *names):
+        return ""
+
     def running(self, x, over, start=None):
         return f"{start + ' + ' if start else ''}sum({x}) OVER ({over})"
 
